@@ -12,8 +12,10 @@ is one path; repeated rows are encoded each; an empty table gives an empty resul
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,6 +33,14 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def endings(ids: dict[bytes, int]) -> dict[bytes, tuple[int, ...]]:
+    """The lengths, longest first, of the tokens that end in given bytes: three of them, or two or one where no token is longer."""
+    found: dict[bytes, set[int]] = {}
+    for t in ids:
+        found.setdefault(t[-3:], set()).add(len(t))
+    return {k: tuple(sorted({n for j in range(len(k)) for n in found.get(k[j:], ()) if j == 0 or n == len(k) - j}, reverse=True)) for k in found}
+
+
 class Vocabulary:
     """Tokens, merges and added tokens of a tokenizer file."""
 
@@ -49,12 +59,13 @@ class Vocabulary:
             pair = (self.ids[a], self.ids[b])
             self.rank[pair] = r
             self.parts[self.ids[a + b]] = (*pair, r)
-        self.longest = max(map(len, self.ids))
+        self.endings = endings(self.ids)
         self.added = {t["content"]: t["id"] for t in data.get("added_tokens") or []}
         self.bytes |= {i: s.encode() for s, i in self.added.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.known: dict[int, bool] = {}
-        self.cache: dict[str, tuple[str | list[int], int]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.spelled = pa.array([self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)], pa.binary())
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merges leave the token pair as it is: no earlier merge crosses the border while both sides are being built.
@@ -82,7 +93,7 @@ class Vocabulary:
 
     def walk(self, words: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """(word, tokens) of sorted distinct words: depth first through their trie, whose open path is held with the last token at each node."""
-        ids, longest, known, compatible = self.ids, self.longest, self.known, self._compatible
+        ids, endings, known, compatible = self.ids, self.endings, self.known, self._compatible
         last: list[int] = []
         size: list[int] = []
         before = b""
@@ -96,8 +107,11 @@ class Vocabulary:
                     shared += 1
             del last[shared:], size[shared:]
             for i in range(shared, n):
-                for start in range(max(0, i + 1 - longest), i + 1):
-                    if (t := ids.get(word[start : i + 1])) is None:
+                end = i + 1
+                lengths = endings.get(word[i - 2 : end]) if i > 1 else None
+                for length in lengths or endings.get(word[i - 1 : end] if i else word[:1]) or endings[word[i:end]]:
+                    start = end - length
+                    if start < 0 or (t := ids.get(word[start:end])) is None:
                         continue
                     if start:
                         key = last[start - 1] << 20 | t
@@ -106,7 +120,7 @@ class Vocabulary:
                         if not ok:
                             continue
                     last.append(t)
-                    size.append(i + 1 - start)
+                    size.append(length)
                     break
                 else:
                     raise ValueError("a byte has no token")
@@ -117,33 +131,35 @@ class Vocabulary:
                 i -= size[i - 1]
             yield word, out[::-1]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text, as lists of int32."""
         find = regex.compile(WORDS).findall
-        cut = [[(s, j % 2) for j, s in enumerate(self.split.split(t) if self.split else [t])] for t in texts]
+        cut = [[(s, j % 2) for j, s in enumerate(self.split.split(t))] if self.split else [(t, 0)] for t in texts]
         cut = [[(find(s) if not special else s, special) for s, special in parts] for parts in cut]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         if len(self.known) > 4 * CACHE_WORDS:
             self.known.clear()
         cache = self.cache
-        new = {w for parts in cut for words, special in parts if not special for w in words}.difference(cache)
+        new = set().union(*(words for parts in cut for words, special in parts if not special)).difference(cache)
         back = {w.encode(): w for w in new}
         for word, tokens in self.walk(sorted(back)):
-            cache[back[word]] = tokens
-        out = []
+            cache[back[word]] = array("i", tokens).tobytes()
+        own, get = [], cache.__getitem__
         for parts in cut:
-            ids: list[int] = []
-            for words, special in parts:
-                if special:
-                    ids.append(self.added[words])
-                else:
-                    for w in words:
-                        ids += cache[w]
-            out.append(ids)
-        return out
+            own.append(b"".join([array("i", [self.added[words]]).tobytes() if special else b"".join(map(get, words)) for words, special in parts]))
+        offsets = np.concatenate(([0], np.cumsum([len(b) // 4 for b in own]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(own), np.int32)))
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: pa.ListArray) -> list[str]:
+        """The texts that lists of ids stand for. Tokens' bytes in a row are one buffer, which is cut where the lists end."""
+        offsets = np.asarray(ids.offsets)
+        spelled = self.spelled.take(ids.flatten())
+        ends = np.frombuffer(spelled.buffers()[1], np.int32)[spelled.offset :][: len(spelled) + 1] if len(spelled) else np.zeros(1, np.int32)
+        data = spelled.buffers()[2]
+        raw = data.to_pybytes() if data is not None and len(spelled) else b""
+        cuts = ends[offsets - offsets[0]].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
 
 
 _loaded: dict[int, Vocabulary] = {}
@@ -178,7 +194,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(v.encode(texts[a:b]), pa.list_(pa.int32()))], ["doc_id", "ids"])
+                yield pa.record_batch([batch.column(0).slice(a, b - a), v.encode(texts[a:b])], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -194,6 +210,6 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
             ids = batch.column(1)
             for a in range(0, len(ids), 500):
                 own = ids.slice(a, 500)
-                yield pa.record_batch([batch.column(0).slice(a, 500), own, pa.array([v.decode(x) for x in own.to_pylist()], pa.string())], ["doc_id", "ids", "text"])
+                yield pa.record_batch([batch.column(0).slice(a, 500), own, pa.array(v.decode(own), pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
