@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,16 +120,30 @@ class Text:
         self.whole = self.doc[:n] == self.doc[window - 1 : window - 1 + n] if n else np.empty(0, bool)
 
 
-def runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def runs(batches: Iterator[pa.RecordBatch], column: int, unpack: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of batches that hold about CHUNK_BYTES of text."""
+    read = zstandard.ZstdDecompressor().decompress if unpack else lambda t: t
     for batch in batches:
-        texts = [t or b"" for t in batch.column(column).to_pylist()]
         at = n = 0
-        for i, t in enumerate(texts):
-            n += len(t)
-            if n >= CHUNK_BYTES or i + 1 == len(texts):
-                yield batch.slice(at, i + 1 - at), texts[at : i + 1]
-                at, n = i + 1, 0
+        texts: list[bytes] = []
+        for i, t in enumerate(batch.column(column)):
+            texts.append(read(t.as_py()) if t.is_valid else b"")
+            n += len(texts[-1])
+            if n >= CHUNK_BYTES or i + 1 == batch.num_rows:
+                yield batch.slice(at, i + 1 - at), texts
+                at, n, texts = i + 1, 0, []
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, th, text) with texts compressed, for the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            texts = [codec.compress(t.as_buffer()) if t.is_valid else None for t in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["doc_id", "th", "text"])
+
+    return rows.mapInArrow(run, "doc_id long, th long, text binary")
 
 
 def find_anchors(docs: DataFrame, window: int) -> DataFrame:
@@ -152,7 +167,7 @@ def find_regions(docs: DataFrame, window: int) -> DataFrame:
     """docs have wanted, the anchors to look at: a row (h, salt, doc_id, th, s, n, words) for each run of n windows from word s on with one anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in runs(batches, 2):
+        for batch, texts in runs(batches, 2, unpack=True):
             t = Text(texts, window)
             wanted = batch.column(3)
             offsets = np.asarray(wanted.offsets)
@@ -241,7 +256,7 @@ def keep_words(docs: DataFrame) -> DataFrame:
     spans_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in runs(batches, 1):
+        for batch, texts in runs(batches, 1, unpack=True):
             rows = []
             for text, gone in zip(texts, batch.column(2).to_pylist()):
                 own, spans, kept, at = text.split(), [], [], 0
@@ -268,7 +283,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, group_rows: int = GROU
     keys = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
     keys = keys.select("h", F.ceil(F.col("n") / group_rows).cast("int").alias("salts"))
     wanted = found.join(keys, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "salts")).alias("wanted"))
-    held = rows.repartition("doc_id", "th")
+    held = packed(rows).repartition("doc_id", "th")
     regions = find_regions(held.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "text", "wanted"), window)
     judged = common.by_group(regions, ["h", "salt"], lambda t: repeats_in(t, window), "doc_id long, th long, s int, e int, w1 long, w2 long", rows=TREE_ROWS)
     judged = common.cut(judged)
