@@ -1,0 +1 @@
+"""Registered queries, views and the page store."""
