@@ -35,7 +35,7 @@ def split_default(word: str) -> list[str]:
     return [word]
 
 
-_CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]+|[\p{L}\p{M}\p{N}]+")
+_CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]+|[[\p{L}\p{M}\p{N}]--[\p{Han}\p{Hiragana}\p{Katakana}]]+", regex.V1)
 
 
 def split_chinese(word: str, words: frozenset[str] = frozenset(), longest: int = 4) -> list[str]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skein.functions.url import canonical, expand_sites, is_resource, pandas_map, wiki_url
 
@@ -34,7 +33,7 @@ def category_lists(spark: SparkSession, path: str, done: DataFrame | None = None
     raw = raw.filter(F.col("file").rlike("^[a-z]{2}$|^global$|^cis$"))
     country = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in REGIONS.items() for x in kv]), F.col("file")), F.upper("file"))
     out = raw.select(canonical(F.col("url")).alias("url"), country.alias("country"), F.col("category_code").alias("category")).filter("url is not null").distinct()
-    return out if done is None else out.join(done.select("country"), "country", "left_anti")
+    return out if done is None else out.join(done.select("country"), "country", "left_anti").select("url", "country", "category")
 
 
 def category_legend(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
@@ -46,7 +45,7 @@ def category_legend(spark: SparkSession, path: str, known: DataFrame | None = No
     return new if known is None else new.exceptAll(known.select("code", "description").distinct())
 
 
-REPORT = T.StructType.fromDDL("url string, reportDate string, reportType string, protocol string, country struct<shortName:string>")
+REPORT = "url string, reportDate string, reportType string, protocol string, country struct<shortName:string>"
 
 
 def access_reports(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
