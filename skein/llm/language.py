@@ -38,10 +38,17 @@ def dictionary(pieces: list[str]) -> bytes:
 
 def fit(docs: DataFrame, texts: int = TEXTS) -> dict[str, bytes]:
     """Dictionary content by language, from the (bounded) sample of docs that sorts first by hash. docs: text, lang."""
+    h = F.xxhash64(F.lit(31), "text")
+    known = docs.filter("lang is not null and text is not null").select("lang", F.substring("text", 1, PIECE).alias("piece"), h.alias("h"))
+    counts = {row["lang"]: row["count"] for row in known.groupBy("lang").count().collect()}  # a row for each language
+    if not counts:
+        return {}
+    # of a large language only the hashes near the bottom can be among the first, so no task ranks more than a few times ``texts`` rows of it
+    most = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4.0 * texts / n))])
+    known = known.filter(F.shiftrightunsigned("h", 11) / F.lit(2.0**53) < most[F.col("lang")])
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))
-    known = docs.filter("lang is not null and text is not null").select("lang", F.substring("text", 1, PIECE).alias("piece"), F.xxhash64("text").alias("h"))
     pieces: dict[str, list[str]] = {}
-    for row in known.withColumn("rank", first).filter(F.col("rank") <= texts).collect():
+    for row in known.withColumn("h", F.shiftrightunsigned("h", 11)).withColumn("rank", first).filter(F.col("rank") <= texts).collect():
         pieces.setdefault(row["lang"], []).append(row["piece"])
     return {lang: dictionary(own) for lang, own in sorted(pieces.items())}
 

@@ -6,7 +6,7 @@ the shards' sizes; a shard's blocks are then the first of its documents in a see
 
 Cases: null text has size 0 and takes nothing; a null source is a source of its own, after all others; a source of size 0 has target 0; equal rows are
 rows of their own; an empty table gives an empty result. Only doc_id, source and text are read. The driver sees one number for each source and
-shard, and a shard has about SHARD_ROWS rows, so no task holds a source.
+shard; no task holds a source.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from skein.llm import common
 
 BLOCKS = 1_000_000
 MOST_PASSES = 3
-SHARD_ROWS = 20_000
+#: A shard has about SHARD_ROWS rows, and a source at most SHARDS shards.
+SHARD_ROWS, SHARDS = 2_000, 4_096
 SEED = 42
 
 
@@ -68,8 +69,10 @@ def apportion(weights: np.ndarray, seats: int, most: np.ndarray | None = None) -
 def plan(shards: list[tuple[str | None, int, int]], passes: int = MOST_PASSES, blocks: int = BLOCKS) -> list[tuple[str | None, int, int, float, int]]:
     """(source, shard, source_size, target, quota in words) of each (source, shard, size)."""
     sizes: dict[str | None, int] = {}
-    for source, _, n in shards:
+    parts: dict[str | None, list[tuple[int, int]]] = {}
+    for source, shard, n in shards:
         sizes[source] = sizes.get(source, 0) + n
+        parts.setdefault(source, []).append((shard, n))
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     goal = targets([sizes[s] for s in names], [1 + i % 3 for i in range(len(names))], passes)
     total = sum(sizes.values())
@@ -78,7 +81,7 @@ def plan(shards: list[tuple[str | None, int, int]], passes: int = MOST_PASSES, b
     seats = dict(zip(names, apportion(np.array(goal), total // block, cap).tolist()))
     out = []
     for k, s in enumerate(names):
-        own = sorted((shard, n) for source, shard, n in shards if source == s)
+        own = sorted(parts[s])
         quota = apportion(np.array([n for _, n in own]), seats[s], np.array([-(-passes * n // block) for _, n in own]))
         out += [(s, shard, sizes[s], goal[k], min(int(q) * block, passes * n)) for (shard, n), q in zip(own, quota)]
     return out
@@ -87,7 +90,7 @@ def plan(shards: list[tuple[str | None, int, int]], passes: int = MOST_PASSES, b
 def mix(docs: DataFrame, passes: int = MOST_PASSES, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and text_hash of each row of docs. taken: words the mix takes of it, repeats counted."""
     sized = common.cut(docs.select("doc_id", "source", common.n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")))
-    rows = sized.groupBy("source").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    rows = sized.groupBy("source").agg(F.least(F.ceil(F.count("*") / shard_rows), F.lit(SHARDS)).cast("int").alias("shards"))
     same = lambda a, b: a.eqNullSafe(b)
     sized = sized.join(rows.withColumnRenamed("source", "s"), same(F.col("source"), F.col("s"))).drop("s")
     sized = sized.withColumn("deal", F.xxhash64(F.lit(seed), "doc_id", "text_hash")).withColumn("shard", F.pmod("deal", "shards").cast("int"))

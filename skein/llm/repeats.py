@@ -26,7 +26,7 @@ from skein.llm import common
 
 WINDOW, GRAM = 50, 8
 #: Occurrences of one prefix key in a group (each has at most about 2 * WINDOW words), and words in one tree.
-GROUP_ROWS, TREE_ROWS = 20_000, 10_000
+GROUP_ROWS, TREE_ROWS = 1_000, 10_000
 CHUNK_BYTES = 2_000_000
 
 _rng = np.random.Generator(np.random.PCG64(20240229))

@@ -214,6 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, width: int = F
     gain = F.col("pos") * F.log((F.col("pos") + 0.5) / (F.col("pos") + F.col("neg") + 1) * (total / p))
     best = tallied.filter((F.col("pos") >= 2) & (F.col("pos") * n > 2 * F.col("neg") * p)).orderBy(F.desc(gain), "f").limit(width)
     names = [r["f"] for r in best.select("f").collect()]
+    if not names:
+        return Model(counts, {}, math.log(p / n))
     index = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
