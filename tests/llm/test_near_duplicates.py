@@ -233,18 +233,17 @@ def brute_lines(rows):
                 p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
         return d[-1]
 
-    def sim(f):
-        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in f.split(" ")]
-        runs = [h[i : i + line_dedup.RUN] for i in range(0, len(h), line_dedup.RUN)]
-        signed = lambda x: x - 2**64 if x >= 2**63 else x
-        return min(signed(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in r) > len(r))) for r in runs)
-
-    def posts(s):
-        part = [(s >> 16 * k) & 0xFFFF for k in range(4)]
-        return {(a, b, part[a], part[b]) for a, b in line_dedup.PAIRS}
+    def posts(f):
+        w, out = f.split(" "), set()
+        for i in range(0, len(w), line_dedup.RUN):
+            h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w[i : i + line_dedup.RUN] if len(x) > 3]
+            if len(h) >= line_dedup.LEAST_WORDS:
+                s = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+                out |= {(0, s >> 32), (1, s & 0xFFFFFFFF)}
+        return out
 
     forms = sorted({f for _, t in rows for f in map(form, (t or "").split("\n")) if f})
-    of = {f: posts(sim(f)) for f in forms if " " in f}
+    of = {f: posts(f) for f in forms}
     linked = [(a, b) for a, b in combinations(of, 2) if of[a] & of[b] and 1 - edits(a, b) / max(len(a), len(b)) >= 0.8 - 1e-9]
     group, seen, out = partition(linked, forms), {}, {}
     for i, t in sorted(rows):
@@ -260,7 +259,7 @@ def brute_lines(rows):
 @pytest.mark.parametrize("shuffle", [False, True])
 def test_fuzzy_lines_against_brute_force(spark, monkeypatch, shuffle):
     rng = random.Random(6)
-    bases = [" ".join(some_words(rng, rng.choice([3, 8, 40, 300]))) for _ in range(30)]
+    bases = [" ".join(some_words(rng, rng.choice([3, 8, 40, 300]), 2000)) for _ in range(30)]
     rows = []
     for i in range(50):
         lines = []
