@@ -42,37 +42,48 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(
 RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template", "iframe", "textarea", "svg", "math", "title")}
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 NAME_WORD = re.compile(r"[a-z]+|\d+", re.I)
+# First words of names that describe a layout, and words that name an article's own heading.
+LAYOUT = "no with has without".split()
+TITLE = "header masthead banner".split()
+LAYOUT_SET, TITLE_SET = frozenset(LAYOUT), frozenset(TITLE)
 HIDDEN_SET, FURNITURE_SET, BLOCK_SET, VOID_SET, ROLE_SET, MARK_SET = map(frozenset, (HIDDEN, FURNITURE, BLOCKS, VOID, ROLES, MARKS))
 
 
+def marked_name(value: str, in_article: bool) -> bool:
+    """Whether one of the names in a class or id stands for furniture: ``site-footer`` does, ``no-sidebar`` and, in an article, ``entry-header`` do not."""
+    for name in value.split():
+        found = NAME_WORD.findall(name)
+        if found and found[0] not in LAYOUT_SET and any(w in MARK_SET and not (in_article and w in TITLE_SET) for w in found):
+            return True
+    return False
+
+
 def around(name: str, attributes: str, in_article: bool) -> bool:
     """Whether an element stands around an article rather than in it."""
     if name in HIDDEN_SET or name in FURNITURE_SET or name == "header" and not in_article:
         return True
-    if not attributes or name in ("html", "body", "article", "main"):
+    if not attributes or name in ("html", "body", "main"):
         return False
     for key, value in ATTRIBUTE.findall(attributes):
         value = value.strip("\"'").lower()
-        if key.lower() == "role":
-            if value in ROLE_SET:
-                return True
-        elif any(w in MARK_SET for w in NAME_WORD.findall(value)):
+        if value in ROLE_SET if key.lower() == "role" else marked_name(value, in_article):
             return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, bool]]:
-    """(text, in an article) of each block; ("", False) for a block's worth of what stands around."""
-    out: list[tuple[str, bool]] = []
+def lines(page: str) -> list[tuple[str, int]]:
+    """(text, 2 in an article, 1 in the main part, else 0) of each block; ("", 0) for a block's worth of what stands around."""
+    out: list[tuple[str, int]] = []
     held: list[str] = []
-    at, article, skip, depth = 0, 0, "", 0
+    depth_of = {"article": 0, "main": 0}
+    at, skip, depth = 0, "", 0
 
     def end() -> None:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((text, article > 0))
+                out.append((text, 2 if depth_of["article"] else 1 if depth_of["main"] else 0))
 
     n = len(page)
     while at < n:
@@ -93,31 +104,29 @@ def lines(page: str) -> list[tuple[str, bool]]:
                 stop = RAW_END[name].search(page, at)
                 at = stop.end() if stop else n
                 continue
+        inside = depth_of["article"] + depth_of["main"] > 0
         if skip:
             if name == skip and name not in VOID_SET:
                 depth += -1 if closing else 1
                 if depth <= 0:
                     skip = ""
-            elif name in ("article", "main", "body") and not closing:
+            elif not closing and not inside and (name in ("main", "body") or name == "article" and not around(name, attributes, False)):
                 skip = ""  # what was left open before an article ends there
-            if skip:
-                continue
-            if closing:
+            if skip or closing:
                 continue
         if name == "br":
             held.append(" ")
             continue
-        if name in ("article", "main"):
-            end()
-            article = max(0, article + (-1 if closing else 1))
-            continue
-        if not closing and name not in VOID_SET and around(name, attributes, article > 0):
+        if not closing and name not in VOID_SET and around(name, attributes, inside):
             end()
-            out.extend([("", False)] * WINDOW)
+            out.extend([("", 0)] * WINDOW)
             if not attributes.rstrip().endswith("/"):
                 skip, depth = name, 1
             continue
-        if name in BLOCK_SET:
+        if name in depth_of:
+            end()
+            depth_of[name] = max(0, depth_of[name] + (-1 if closing else 1))
+        elif name in BLOCK_SET:
             end()
     end()
     return out
@@ -125,9 +134,10 @@ def lines(page: str) -> list[tuple[str, bool]]:
 
 def main_text(page: str | None) -> str:
     found = lines(page or "")
-    marked = any(inside for _, inside in found)
-    lengths = [len(t) if inside or not marked else 0 for t, inside in found]
+    marked = max((level for _, level in found), default=0)
+    lengths = [len(t) if level == marked else 0 for t, level in found]
     sums = [sum(lengths[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(lengths))]
+    top = max(sums, default=0)
     keep: list[str] = []
     i = 0
     while i < len(sums):
@@ -137,7 +147,7 @@ def main_text(page: str | None) -> str:
         surge = i
         while i < len(sums) and sums[i]:
             i += 1
-        if marked or max(sums[surge:i]) >= SURGE or max(sums) < SURGE:
+        if marked or max(sums[surge:i]) >= SURGE or top < SURGE:
             keep += [found[j][0] for j in range(surge, i) if lengths[j]]
     return "\n".join(keep)
 

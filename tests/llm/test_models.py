@@ -105,6 +105,8 @@ def test_search_against_brute_force(spark):
         ("<body><header>Site</header><main><header><h1>T</h1></header><p>Body</p><aside>side</aside><form><input>Send</form><p>More</p><section id='comments'><p>me too</p></section></main><script>var a='</p>';</script>", "T\nBody\nMore"),
         ("<article><p>a <!-- no --> b</p><div role=alert>x</div><p>1 &lt; 2 > 1</p></article>", "a b\n1 < 2 > 1"),
         ("<nav>unclosed<article>kept</article>", "kept"),
+        ("<main><p>teaser</p><article><div class='entry-header'><h1>T</h1></div><p>B</p><div class='share'>s</div><article class='comment'><p>me too</p></article><footer>by</footer><p>C</p></article></main>", "T\nB\nC"),
+        ("<body class='has-sidebar'><div id='page' class='no-sidebar wide'><p>" + "long text " * 20 + "</p></div><div class='left-sidebar'>side</div>", ("long text " * 20).strip()),
         ("<p>" + "long text " * 20 + "</p><div class='cookie-notice'>we use</div>", ("long text " * 20).strip()),
     ],
 )
