@@ -92,6 +92,18 @@ _DOUBLES = "[CAST(x AS DOUBLE) FOR x IN embedding]"
 
 #: SQL of the queries that SQL can express. Exact methods: what the approximate ones are held against.
 SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": f"""
+        WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, {_DOUBLES} AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_RULE}),
+        p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+        r(n, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.n, p.b FROM r JOIN p ON r.c = p.a),
+        c AS (SELECT n, min(c) AS c FROM r GROUP BY n), k AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+        SELECT vec_id, coalesce(k.n, 0) AS n_links, c.c AS component_id, vec_id = c.c AS kept FROM embeddings JOIN c ON c.n = vec_id LEFT JOIN k ON k.a = vec_id""",
+    "op2_substring_dedup": r"""
+        WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+        f AS (SELECT h, min(doc_id) AS lo FROM x GROUP BY h), g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM x JOIN f USING (h) WHERE doc_id > lo),
+        u AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS k FROM d), a AS (SELECT doc_id, count(*) AS n, string_agg(t, ' ' ORDER BY k) AS s FROM u ANTI JOIN g USING (doc_id, k) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)""",
     "op4_nearest_neighbours": f"""
         WITH v AS MATERIALIZED (SELECT vec_id, {_DOUBLES} AS e FROM embeddings WHERE vec_id IS NOT NULL AND {_RULE}),
         d AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
