@@ -234,13 +234,12 @@ def brute_lines(rows):
         return d[-1]
 
     def posts(f):
-        w, out = f.split(" "), set()
-        for i in range(0, len(w), line_dedup.RUN):
-            h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w[i : i + line_dedup.RUN] if len(x) > 3]
-            if len(h) >= line_dedup.LEAST_WORDS:
-                s = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-                out |= {(0, s >> 32), (1, s & 0xFFFFFFFF)}
-        return out
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in set(f.split(" ")) if len(x) > 3]
+        if len(h) < line_dedup.LEAST_WORDS:
+            return set()
+        s = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        part = [(s >> 16 * k) & 0xFFFF for k in range(4)]
+        return {(a, b, part[a], part[b]) for a, b in line_dedup.PAIRS}
 
     forms = sorted({f for _, t in rows for f in map(form, (t or "").split("\n")) if f})
     of = {f: posts(f) for f in forms}
