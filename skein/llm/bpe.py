@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pattern that cuts a text into words for a byte-level pre-tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -138,7 +138,7 @@ class Vocabulary:
         cut = [[(find(s) if not special else s, special) for s, special in parts] for parts in cut]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        if len(self.known) > 4 * CACHE_WORDS:
+        if len(self.known) > 2 * CACHE_WORDS:
             self.known.clear()
         cache = self.cache
         new = set().union(*(words for parts in cut for words, special in parts if not special)).difference(cache)

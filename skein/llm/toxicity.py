@@ -31,7 +31,9 @@ LABELLED, FEATURES = 20_000, 4_096
 PREFIXES = (4, 5)
 #: The language model's table: trigrams of letters, kept if seen in so many distinct words of the corpus.
 LEAST_SEEN, MOST_TRIGRAMS = 2, 200_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 60_000
+#: Distinct words or features that a worker holds before it hands their counts on.
+HELD = 120_000
 LONGEST_SPAN = 64
 
 # Look-alikes of letters.
@@ -66,11 +68,14 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words: set[str] = set()
-            for t in batch.column(0):
+            for i, t in enumerate(batch.column(0)):
                 words.update((t.as_py() or "").lower().split())
-            found = trigrams({c for w in words if len(c := clean(w)) > 1 and len(c) < 40 and LETTERS.fullmatch(c)})
-            if found:
-                yield pa.record_batch([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["gram", "n"])
+                if len(words) < HELD and i + 1 < batch.num_rows:
+                    continue
+                found = trigrams({c for w in words if len(c := clean(w)) > 1 and len(c) < 40 and LETTERS.fullmatch(c)})
+                words.clear()
+                if found:
+                    yield pa.record_batch([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["gram", "n"])
 
     return docs.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -91,6 +96,8 @@ class Restorer:
 
     def price(self, gram: str) -> float:
         if (got := self.cost.get(gram)) is None:
+            if len(self.cost) > 2 * CACHE_WORDS:
+                self.cost.clear()
             got = self.cost[gram] = -math.log((self.counts.get(gram, 0) + 0.05) / (self.pairs.get(gram[:2], 0) + 0.05 * self.letters))
         return got
 
@@ -203,9 +210,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, width: int = F
             return out
 
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[label].update(restorer.features(text))
-                if len(seen[0]) + len(seen[1]) > 1_000_000:
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
+                seen[label].update(restorer.features(text.as_py()))
+                if len(seen[0]) + len(seen[1]) > HELD:
                     yield flush()
         yield flush()
 
@@ -221,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, width: int = F
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, places = Restorer(shared.value), index.value
         for batch in batches:
-            rows = [sorted(places[f] for f in restorer.features(t) if f in places) for t in batch.column(0).to_pylist()]
+            rows = [sorted(places[f] for f in restorer.features(t.as_py()) if f in places) for t in batch.column(0)]
             yield pa.record_batch([pa.array(rows, pa.list_(pa.int32())), batch.column(1)], ["x", "toxic"])
 
     rows = train.mapInArrow(present, "x array<int>, toxic int").collect()  # the bounded sample
