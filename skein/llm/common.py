@@ -95,6 +95,10 @@ def pair_blocks(df: DataFrame, keys: list[str], by: Column, most: int) -> DataFr
     return out.withColumns({"blk_i": F.least("mine", "other"), "blk_j": F.greatest("mine", "other")}).withColumn("side", (F.col("mine") == F.col("blk_j")).cast("int")).drop("chunks", "mine", "other")
 
 
+#: Edges of a partition of a graph.
+EDGES = 50_000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) for each node that has an edge; component is the least node of its part.
 
@@ -105,16 +109,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     mark = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     cur = cut(cur)
     seen = mark(cur)
+    few = seen["n"] // EDGES + 1  # partitions that hold what there is: small graphs take few files in each shuffle
     for _ in range(rounds):
         if not seen["n"]:
             break
+        cur = cur.coalesce(few)
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
+        large = large.filter("a <> b").distinct().coalesce(few)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        cur = cut(small.distinct())
+        cur = cut(small.coalesce(2 * few).distinct().coalesce(few))
         now = mark(cur)
         if now == seen:
             break
