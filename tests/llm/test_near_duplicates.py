@@ -293,6 +293,38 @@ def test_line_dedup_runs_no_python(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def removed(spark, lines):
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    return {r.doc_id for r in line_dedup.dedup_lines(df).collect() if r.n_removed}
+
+
+def edit_similar(a, b, least=0.8):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        p, d[0] = d[0], i
+        for j, y in enumerate(b, 1):
+            p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
+    return 1 - d[-1] / max(len(a), len(b)) >= least - 1e-9
+
+
+def test_fuzzy_lines_against_all_pairs_by_edit_similarity_alone(spark):
+    rng = random.Random(12)
+    lines = []
+    for _ in range(60):
+        base = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(rng.choice([6, 12, 20, 30]))]
+        lines.append(" ".join(base))
+        for _ in range(2):
+            w = list(base)
+            for k in rng.sample(range(len(w)), max(1, len(w) // 10)):
+                w[k] = "".join(rng.choice("klmnopqr") for _ in w[k])
+            lines.append(" ".join(w))
+    linked = [(i, j) for i, j in combinations(range(len(lines)), 2) if edit_similar(lines[i], lines[j])]
+    group = partition(linked, range(len(lines)))
+    want = {i for i in group if group[i] != i}
+    got = removed(spark, lines)
+    assert len(want) > 100 and got <= want and len(got) >= 0.98 * len(want)
+
+
 def test_kept_hash_is_that_of_kept_words(spark, tmp_path):
     from skein.llm import queries
 
