@@ -325,6 +325,28 @@ def test_fuzzy_lines_against_all_pairs_by_edit_similarity_alone(spark):
     assert len(want) > 100 and got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_fuzzy_lines_of_few_or_short_words(spark):
+    pairs = [
+        ("unsubscribe newsletter", "unsubscribed newsletter"),
+        ("tel 030 12 34 56 78 90", "tel 030 12 34 56 78 91"),
+        ("版权所有未经许可不得转载本网站的任何内容", "版权所有未经许可不得转载本网站之任何内容"),
+        ("we do as we are to do it so it is on us", "we do as we are to do it so it is on me"),
+        ("go to my big sunny garden house", "go to my big sunny gardens how"),
+    ]
+    assert all(edit_similar(a, b) for a, b in pairs)
+    apart = ["an other line", "12 13 14 15 16 17", "no link at all"]
+    assert removed(spark, [x for p in pairs for x in p] + apart) == {2 * k + 1 for k in range(len(pairs))}
+
+
+def test_a_chain_in_a_post_stays_connected(spark):
+    # equal sets of words share all posts; the ends are not similar to each other, whichever of the three leads
+    a = "alpha bravo charlie delta echoes foxtrot golfing hotels india juliet".split()
+    lines = [" ".join(a), " ".join(a[1:] + a[:1]), " ".join(a[2:] + a[:2])]
+    assert edit_similar(lines[0], lines[1]) and edit_similar(lines[1], lines[2]) and not edit_similar(lines[0], lines[2])
+    for order in ([0, 1, 2], [2, 0, 1], [0, 2, 1]):
+        assert removed(spark, [lines[k] for k in order]) == {1, 2}
+
+
 def test_kept_hash_is_that_of_kept_words(spark, tmp_path):
     from skein.llm import queries
 
