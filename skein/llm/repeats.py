@@ -5,8 +5,9 @@ hash among its GRAM-word sequences; equal windows have equal anchors, so only an
 words is counted, pre-aggregated, not one for each word). The suffixes left are split by that prefix key, and by a salt where one key would not fit in
 memory, into groups of bounded size. A task builds the suffix tree of its group down to depth WINDOW by naming ever longer prefixes (1, 2, 4, ... words;
 two suffixes have one name at a depth exactly if they share a node there). Nodes at full depth are the repeats: each holds the least doc_id of its
-suffixes, and every suffix of a larger document is a repeat. A salted key's groups hand on only one suffix for each of their nodes at full depth, keyed
-by the whole window (the longest prefix that matters); the least doc_id of each is then found over all groups.
+suffixes, and every suffix of a larger document is a repeat. A salted key's groups hand on the suffixes of the least doc_id of each of their nodes at full depth (more
+than one where that document repeats itself), keyed by the whole window (the longest prefix that matters); the least doc_id of each is then found over all
+groups.
 
 Cases: null text has no words; null doc_id neither repeats nor is repeated; rows that share a doc_id are never repeats of each other; documents
 under WINDOW words lose nothing; equal rows are judged alike; an empty table gives an empty result; only doc_id and text are read.
@@ -241,8 +242,7 @@ def repeats_in(table: pa.Table, window: int) -> pa.RecordBatch | None:
         out.append((doc[row[k[cut]]], th[row[k[cut]]], s[k[cut]], s[k[last]] + window, none, none, np.zeros(len(cut), bool)))
     split = table.column("split").to_numpy(zero_copy_only=False)[row]
     if (more := split & ~gone).any():
-        k = np.flatnonzero(more)
-        k = k[np.unique(node[k], return_index=True)[1]]  # one for each node: all that are left of a node have its least doc_id
+        k = np.flatnonzero(more)  # every place: all that are left of a node have its least doc_id, which may hold the window more than once
         w1, w2 = gram_hashes(hashes, window)[at[k]], gram_hashes(mixed(hashes ^ np.uint64(0x9E3779B97F4A7C15)), window)[at[k]]
         out.append((doc[row[k]], th[row[k]], s[k], s[k] + window, w1.view(np.int64), w2.view(np.int64), np.ones(len(k), bool)))
     if not out:

@@ -6,6 +6,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -347,6 +348,17 @@ def test_a_chain_in_a_post_stays_connected(spark):
         assert removed(spark, [lines[k] for k in order]) == {1, 2}
 
 
+def test_a_salted_group_hands_on_all_places_of_its_least_document():
+    passage = " ".join(some_words(random.Random(21), 50)).encode()
+    same = b" ".join([b"same"] * 60)
+    rows = [(7, 20, 1, passage), (7, 95, 1, passage), (9, 3, 1, passage), (8, 0, 11, same)]
+    doc, s, n, text = zip(*rows)
+    columns = {"split": [True] * 4, "doc_id": doc, "th": [1] * 4, "s": pa.array(s, pa.int32()), "n": pa.array(n, pa.int32()), "words": pa.array(text, pa.binary())}
+    out = repeats.repeats_in(pa.table(columns), 50).to_pylist()
+    assert sorted((r["doc_id"], r["s"], r["e"]) for r in out if r["w1"] is not None) == [(7, 20, 70), (7, 95, 145)] + [(8, k, k + 50) for k in range(11)]
+    assert [(r["doc_id"], r["s"], r["e"]) for r in out if r["w1"] is None] == [(9, 3, 53)]
+
+
 def test_kept_hash_is_that_of_kept_words(spark, tmp_path):
     from skein.llm import queries
 
