@@ -223,43 +223,33 @@ def test_any_four_bytes_hold_a_posted_set():
 # 5
 
 
-def brute_lines(rows):
-    form = lambda s: " ".join(re.findall(r"[^\W_]+", s.lower())) if len(s) >= line_dedup.LEAST_CHARS else ""
+def edits(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        p, d[0] = d[0], i
+        for j, y in enumerate(b, 1):
+            p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
+    return d[-1]
 
-    def edits(a, b):
-        d = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            p, d[0] = d[0], i
-            for j, y in enumerate(b, 1):
-                p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
-        return d[-1]
-
-    def posts(f):
-        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in set(f.split(" ")) if len(x) > 3]
-        if len(h) < line_dedup.LEAST_WORDS:
-            return set()
-        s = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-        part = [(s >> 16 * k) & 0xFFFF for k in range(4)]
-        return {(a, b, part[a], part[b]) for a, b in line_dedup.PAIRS}
 
+def brute_lines(rows):
+    """The lines that go, as (doc_id, line), if all pairs of lines are compared by edit similarity alone."""
+    form = lambda s: " ".join(re.findall(r"[^\W_]+", s.lower())) if len(s) >= line_dedup.LEAST_CHARS else ""
     forms = sorted({f for _, t in rows for f in map(form, (t or "").split("\n")) if f})
-    of = {f: posts(f) for f in forms}
-    linked = [(a, b) for a, b in combinations(of, 2) if of[a] & of[b] and 1 - edits(a, b) / max(len(a), len(b)) >= 0.8 - 1e-9]
-    group, seen, out = partition(linked, forms), {}, {}
+    near = lambda a, b: abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and 1 - edits(a, b) / max(len(a), len(b)) >= 0.8 - 1e-9
+    group, seen, gone = partition([(a, b) for a, b in combinations(forms, 2) if near(a, b)], forms), {}, set()
     for i, t in sorted(rows):
-        kept = []
         for k, line in enumerate((t or "").split("\n")):
             f = form(line)
-            if not f or seen.setdefault(group[f], (i, k)) == (i, k):
-                kept.append(line)
-        out[i] = "\n".join(kept)
-    return out, linked
+            if f and seen.setdefault(group[f], (i, k)) != (i, k):
+                gone.add((i, k))
+    return gone
 
 
 @pytest.mark.parametrize("shuffle", [False, True])
 def test_fuzzy_lines_against_brute_force(spark, monkeypatch, shuffle):
     rng = random.Random(6)
-    bases = [" ".join(some_words(rng, rng.choice([3, 8, 40, 300]), 2000)) for _ in range(30)]
+    bases = [" ".join(some_words(rng, rng.choice([3, 8, 20, 60]), 2000)) for _ in range(30)]
     rows = []
     for i in range(50):
         lines = []
@@ -270,13 +260,58 @@ def test_fuzzy_lines_against_brute_force(spark, monkeypatch, shuffle):
             lines.append(rng.choice([" ", "  ", ", "]).join(w))
         rows.append((i, "\n".join(lines + rng.choice([[], [""], ["ok"], [lines[0].upper()]]))))
     rows += [(100, ""), (101, "\n\n"), (102, "a single-worded-lineeeeeeeeeeee"), (103, "A SINGLE worded lineeeeeeeeeeee")]
-    want, linked = brute_lines(rows)
-    assert linked
+    want = brute_lines(rows)
     monkeypatch.setattr(line_dedup, "bounded", lambda df, rows: df if shuffle else F.broadcast(df))
-    df = spark.createDataFrame([(i, t, "s", 0, 0, 0) for i, t in rows], DOCS)
+    # columns with the names that the operator uses itself
+    df = spark.createDataFrame([(i, t, "s", 0, 0, 0, "a", i) for i, t in rows], DOCS.replace("n int", "n int, __th string, line int"))
     out = line_dedup.dedup_lines(df)
     assert out.columns == [*df.columns, "n_lines", "n_removed"]
-    assert {r.doc_id: r.text for r in out.collect()} == want
+    got, texts = out.collect(), dict(rows)
+    assert all(r["__th"] == "a" and r.line == r.doc_id and r.n_lines == texts[r.doc_id].count("\n") + 1 for r in got)
+    removed = 0
+    for r in got:
+        stay = [x for k, x in enumerate(texts[r.doc_id].split("\n")) if (r.doc_id, k) not in want]
+        left = r.text.split("\n") if r.n_removed < r.n_lines else []
+        assert len(left) >= len(stay) and r.n_removed == r.n_lines - len(left)
+        removed += r.n_removed
+    assert 0.98 * len(want) <= removed <= len(want)
+
+
+@pytest.mark.parametrize("n", [5, 8, 12, 20, 50, 100])
+def test_recall_of_lines_with_one_and_two_words_replaced(spark, n):
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice([2, 3, 4, 5, 6, 7, 8, 9])))
+    pairs = []
+    while len(pairs) < 300:
+        a = [word() for _ in range(n)]
+        b = list(a)
+        for k in rng.sample(range(n), rng.choice([1, 2])):
+            b[k] = word()
+        a, b = " ".join(a), " ".join(b)
+        if len(a) >= line_dedup.LEAST_CHARS and a != b and edit_similar(a, b):
+            pairs.append((a, b))
+    got = removed(spark, [x for p in pairs for x in p])
+    assert len(got) >= 0.9 * len(pairs) and not {2 * k for k in range(len(pairs))} & got
+
+
+def test_many_unlike_lines_of_the_same_words(spark, monkeypatch):
+    # all share their posts: the hot posts are split, and what cannot be split is compared with one entry after the other
+    monkeypatch.setattr(line_dedup, "SMALL", 2)
+    rng = random.Random(31)
+    own = some_words(rng, 12)
+    lines = [" ".join(rng.sample(own, 12)) for _ in range(40)]
+    lines += [" ".join(x.split()[1:] + x.split()[:1]) for x in lines[:20]]
+    want = {i for i, _ in brute_lines(list(enumerate(lines)))}
+    assert removed(spark, lines) == want and len(want) >= 20
+
+
+def test_a_very_long_line_and_a_hot_line(spark):
+    rng = random.Random(17)
+    long = " ".join(some_words(rng, 5_000, 3_000))
+    near = long.replace(" w1 ", " other ", 1)
+    rows = [(1, long), (2, near), *[(k, "the very same line of a template") for k in range(3, 400)]]
+    out = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {k: int(k not in (1, 3)) for k in out} and len(out) == 399
 
 
 def test_line_cases(spark):
@@ -300,12 +335,7 @@ def removed(spark, lines):
 
 
 def edit_similar(a, b, least=0.8):
-    d = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        p, d[0] = d[0], i
-        for j, y in enumerate(b, 1):
-            p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
-    return 1 - d[-1] / max(len(a), len(b)) >= least - 1e-9
+    return 1 - edits(a, b) / max(len(a), len(b)) >= least - 1e-9
 
 
 def test_fuzzy_lines_against_all_pairs_by_edit_similarity_alone(spark):
