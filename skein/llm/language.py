@@ -3,6 +3,10 @@
 Each language gets a raw-content zstandard dictionary cut from its training texts. A text is compressed with every dictionary, and the language whose
 dictionary leaves the fewest bytes is chosen; where another comes within MARGIN of it, the choice is marked as rejected.
 
+The dictionaries are fitted on a bounded sample: of each language the TEXTS distinct texts that sort first by a hash of the text, so copies weigh nothing and
+order and partitions do not matter. A sampled text of more than PIECE characters gives four stretches that lie evenly over all of it; a dictionary takes the same
+number of bytes of each of its texts, as many as fill DICTIONARY_BYTES, and what short texts leave goes to the longer ones.
+
 Cases: null text, empty text and text without a letter are ``und`` with score 0; texts whose lang is null are never learned from; without any training
 text everything is ``und``; ties go to the language that sorts first; repeated rows and extra columns change nothing; an empty table gives an empty
 result. Texts are compressed whole.
@@ -20,11 +24,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The classifier is fitted on a bounded sample: at most TEXTS texts of each language, of which DICTIONARY_BYTES bytes go in, PIECE bytes of each.
-TEXTS, DICTIONARY_BYTES, PIECE = 400, 131_072, 1_024
+from skein.llm import common
+
+#: The bounded sample: distinct texts of a language, bytes of its dictionary, characters of a text.
+TEXTS, DICTIONARY_BYTES, PIECE = 400, 131_072, 8_192
 LEVEL = 5
 MARGIN = 0.02
 OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 
 
 def plain(text: str) -> str:
@@ -33,22 +40,37 @@ def plain(text: str) -> str:
 
 
 def dictionary(pieces: list[str]) -> bytes:
-    return " ".join(map(plain, sorted(set(pieces)))).encode("utf-8", "replace")[-DICTIONARY_BYTES:]
+    """Raw content that holds the same share of each of the texts."""
+    own = sorted({plain(p).encode("utf-8", "replace") for p in pieces}, key=lambda d: (len(d), d))
+    out, left = [], DICTIONARY_BYTES
+    for i, data in enumerate(own):  # the shorter ones first: what they leave is for the others
+        out.append(data[: max(0, left // (len(own) - i) - 1)])
+        left -= len(out[-1]) + 1
+    return b" ".join(sorted(out))
+
+
+def stretches(text: Column, most: int = PIECE, parts: int = 4) -> Column:
+    """The text, or parts of it that lie evenly over it and have ``most`` characters together."""
+    each = most // parts
+    at = lambda k: F.floor((F.length(text) - each) * k / (parts - 1)).cast("int") + 1
+    return F.when(F.length(text) <= most, text).otherwise(F.concat_ws(" ", *[F.substr(text, at(k), F.lit(each)) for k in range(parts)]))
 
 
 def fit(docs: DataFrame, texts: int = TEXTS) -> dict[str, bytes]:
-    """Dictionary content by language, from the (bounded) sample of docs that sorts first by hash. docs: text, lang."""
-    h = F.xxhash64(F.lit(31), "text")
-    known = docs.filter("lang is not null and text is not null").select("lang", F.substring("text", 1, PIECE).alias("piece"), h.alias("h"))
-    counts = {row["lang"]: row["count"] for row in known.groupBy("lang").count().collect()}  # a row for each language
+    """Dictionary content by language, from the (bounded) sample of docs. docs: text, lang."""
+    known = docs.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64(F.lit(31), "text").alias("h"))
+    distinct = common.cut(known.select("lang", "h").distinct())  # copies are one text
+    counts = {row["lang"]: row["count"] for row in distinct.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return {}
     # of a large language only the hashes near the bottom can be among the first, so no task ranks more than a few times ``texts`` rows of it
-    most = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4.0 * texts / n))])
-    known = known.filter(F.shiftrightunsigned("h", 11) / F.lit(2.0**53) < most[F.col("lang")])
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))
+    most = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (2.0 * texts + 64) / n))])
+    low = distinct.filter(F.shiftrightunsigned("h", 11) / F.lit(2.0**53) < most[F.col("lang")])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11), "h"))
+    chosen = F.broadcast(low.withColumn("rank", first).filter(F.col("rank") <= texts).select("lang", "h"))  # at most ``texts`` rows of each language
     pieces: dict[str, list[str]] = {}
-    for row in known.withColumn("h", F.shiftrightunsigned("h", 11)).withColumn("rank", first).filter(F.col("rank") <= texts).collect():
+    rows = known.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min(stretches(F.col("text"))).alias("piece"))
+    for row in rows.collect():
         pieces.setdefault(row["lang"], []).append(row["piece"])
     return {lang: dictionary(own) for lang, own in sorted(pieces.items())}
 
@@ -66,7 +88,7 @@ class Classifier:
     def __call__(self, text: str | None) -> tuple[str, float, bool, list[int]]:
         """(language, score, rejected, bytes by language)."""
         data = plain(text or "").encode("utf-8", "replace")
-        if not data or not self.langs:
+        if not self.langs or not LETTER.search(text or ""):
             return "und", 0.0, True, []
         sizes = [len(c.compress(data)) - f for c, f in zip(self.codecs, self.floor)]
         best = min(range(len(sizes)), key=sizes.__getitem__)

@@ -1,12 +1,13 @@
 """Toxicity of texts by noisy-channel deobfuscation.
 
-A character language model (letter trigrams with word borders, over the distinct words of each batch of the corpus) is the source. The channel writes
-letters as look-alikes, repeats them, and puts signs or spaces between them. A disguised stretch is a lattice of what each character can stand for; the
-Viterbi path under model and channel restores it. Words that are letters throughout without long repeats have one path and pass as they are. Restored
-texts are scored by a logistic regression on the presence of words and word beginnings.
+A character language model (trigrams of letters that have case, with word borders, over the distinct words of the whole corpus) is the source. The channel writes
+letters as look-alikes, repeats them, and puts signs or spaces between them. A disguised stretch of any length is a lattice of what each character can stand for;
+the Viterbi path under model and channel restores it, a space between letters being nothing or a word border. Words that are letters throughout without long repeats have one
+path and pass as they are. Restored texts are scored by a logistic regression on the presence of words and word beginnings.
 
 The classifier is fitted on a bounded sample: the LABELLED rows of labels that sort first by hash, and the FEATURES features that tell their labels apart
-best. The language model's counts cover every row.
+best. The language model's counts cover every row, every word counts once, and a trigram seen in LEAST_SEEN words is kept; so the model does not depend on how rows are
+dealt to partitions, and its size is bounded by the alphabets, not by a cap.
 
 Cases: null and empty texts get the score of a text without features; labels that are null are not learned from, and a doc_id labelled twice counts
 as toxic if either says so; without labels of both kinds every score is the share of toxic labels (0 without any); ties in the selection go by name;
@@ -18,39 +19,45 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LABELLED, FEATURES = 20_000, 4_096
 PREFIXES = (4, 5)
 #: The language model's table: trigrams of letters, kept if seen in so many distinct words of the corpus.
-LEAST_SEEN, MOST_TRIGRAMS = 2, 200_000
+LEAST_SEEN = 2
 CACHE_WORDS = 60_000
 #: Distinct words or features that a worker holds before it hands their counts on.
 HELD = 120_000
-LONGEST_SPAN = 64
+#: Longer stretches are restored without being remembered.
+CACHED_SPAN = 64
 
 # Look-alikes of letters.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
 SIGNS = set(" .,-_*'~^`·•/\\#%&=:;")
-#: Of a look-alike, a sign between letters, a letter more of a run of three or more, a letter of a double one, a sign that is rather a look-alike.
-LOOK_COST, SIGN_COST, REPEAT_COST, DOUBLE_COST, ODD_COST = 0.7, 0.4, 0.3, 3.0, 4.0
+#: Of a look-alike, a sign between letters, a letter more of a run of three or more, a letter of a double one, a sign that is rather a look-alike, a
+#: space that ends a word.
+LOOK_COST, SIGN_COST, REPEAT_COST, DOUBLE_COST, ODD_COST, BORDER_COST = 0.7, 0.4, 0.3, 3.0, 4.0, 1.0
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = "\"'.,;:!?()[]{}<>«»“”‘’¡¿*%&#$|-_~`^/\\+=@…"
+#: Signs at a word's edge that stand for no letter.
+SOFT_EDGES = "".join(c for c in EDGES if c not in LOOKS)
+CASED = regex.compile(r"\p{Ll}+")
 LETTERS = re.compile(r"[^\W\d_]+")
 THRICE = re.compile(r"([^\W\d_])\1\1")
 #: Single letters or look-alikes with one sign or space between them, three at least.
 SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*'~/][^\W_]){2,}(?![^\W_])")
 
 
-def trigrams(words: set[str]) -> Counter:
+def trigrams(words: Iterable[str]) -> Counter:
     out: Counter = Counter()
     for w in words:
         w = f"^{w}$"
@@ -63,21 +70,30 @@ def clean(word: str) -> str:
 
 
 def count_trigrams(docs: DataFrame) -> DataFrame:
-    """gram, n: in how many distinct words of the batches of docs each letter trigram stands."""
+    """gram, n: in how many distinct words of docs each letter trigram stands."""
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[str] = set()
+
+        def flush() -> pa.RecordBatch:
+            found = {c for w in held if len(c := clean(w)) > 1 and CASED.fullmatch(c)}
+            held.clear()
+            return pa.record_batch([pa.array(found, pa.string())], ["word"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words: set[str] = set()
-            for i, t in enumerate(batch.column(0)):
-                words.update((t.as_py() or "").lower().split())
-                if len(words) < HELD and i + 1 < batch.num_rows:
-                    continue
-                found = trigrams({c for w in words if len(c := clean(w)) > 1 and len(c) < 40 and LETTERS.fullmatch(c)})
-                words.clear()
-                if found:
-                    yield pa.record_batch([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["gram", "n"])
+            for t in batch.column(0):
+                held.update((t.as_py() or "").lower().split())
+                if len(held) >= HELD:
+                    yield flush()
+        yield flush()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = trigrams(batch.column(0).to_pylist())
+            yield pa.record_batch([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["gram", "n"])
 
-    return docs.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    words = docs.select("text").mapInArrow(words_of, "word string").distinct()
+    return words.mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -102,6 +118,8 @@ class Restorer:
         return got
 
     def restore(self, span: str) -> str:
+        if len(span) > CACHED_SPAN:
+            return self._restore(span)
         if (got := self.cache.get(span)) is None:
             if len(self.cache) > CACHE_WORDS:
                 self.cache.clear()
@@ -109,42 +127,54 @@ class Restorer:
         return got
 
     def _restore(self, span: str) -> str:
-        """States are the last two letters written; a character writes a letter, nothing (a sign), or nothing more (a repeat)."""
-        states: dict[str, tuple[float, str]] = {"^": (0.0, "")}
+        """States are the last two letters written; a character writes a letter, nothing (a sign), nothing more (a repeat), or a word border (a space).
+
+        A state holds its cost and the way to it, a chain of letters from the last one back; of ways of equal cost the first stays.
+        """
+        start = "^"
+        states: dict[str, tuple[float, tuple | None]] = {start: (0.0, None)}
         bare = [c for c in span if c not in SIGNS]
         runs = [n for _, own in groupby(bare) for n in [len(list(own))] for _ in range(n)]
         place = 0
         for c in span:
             again = REPEAT_COST if c not in SIGNS and runs[place] > 2 else DOUBLE_COST
             place += c not in SIGNS
-            after: dict[str, tuple[float, str]] = {}
+            after: dict[str, tuple[float, tuple | None]] = {}
 
-            def go(key: str, value: float, text: str, after=after) -> None:
-                if key not in after or (value, text) < after[key]:
-                    after[key] = (value, text)
+            def go(key: str, value: float, way: tuple | None, after=after) -> None:
+                if key not in after or value < after[key][0]:
+                    after[key] = (value, way)
 
             writes = [(c, 0.0)] if c.isalpha() else [(x, LOOK_COST) for x in LOOKS.get(c, "")]
-            for key, (value, text) in states.items():
+            for key, (value, way) in states.items():
                 for x, extra in writes:
                     step = self.price(key + x) if len(key) == 2 else 0.0
-                    go(key[-1] + x, value + extra + step, text + x)
-                    if text and text[-1] == x:
-                        go(key, value + extra + again, text)
+                    go(key[-1] + x, value + extra + step, (x, way))
+                    if key != start and key[-1] == x:
+                        go(key, value + extra + again, way)
                 if c in SIGNS or not writes or c in "!|+($":
-                    go(key, value + (SIGN_COST if c in SIGNS else ODD_COST), text)
+                    go(key, value + (SIGN_COST if c in SIGNS else ODD_COST), way)
+                if c == " " and len(key) == 2:
+                    go(start, value + BORDER_COST + self.price(key + "$"), (" ", way))
             states = after
-        ends = [(value + (self.price(key + "$") if len(key) == 2 else 0.0), text) for key, (value, text) in states.items()]
-        return min(ends)[1] if ends else ""
+        ends = [(value + (self.price(key + "$") if len(key) == 2 else 0.0), way) for key, (value, way) in states.items()]
+        out = []
+        way = min(ends, key=lambda e: e[0])[1] if ends else None
+        while way:
+            out.append(way[0])
+            way = way[1]
+        return "".join(reversed(out))
 
     def features(self, text: str | None) -> set[str]:
         """The distinct words of the restored text and their beginnings."""
         low = (text or "").lower()
-        words = {clean(w) for w in set(low.split())}
-        odd = {w for w in words if len(w) > 2 and (not w.isalpha() or THRICE.search(w))}
-        restored = {self.restore(w) for w in odd if len(w) <= LONGEST_SPAN and any(c.isalpha() for c in w)}
+        seen = set(low.split())
+        words = {clean(w) for w in seen}
+        # look-alikes at a word's edge may be letters: both readings count
+        odd = {w for w in words | {x.strip(SOFT_EDGES) for x in seen} if len(w) > 2 and (not w.isalpha() or THRICE.search(w))}
+        restored = {self.restore(w) for w in odd if any(c.isalpha() for c in w)}
         for m in SPACED.findall(low):
-            if len(m) <= LONGEST_SPAN:
-                restored.add(self.restore(m))
+            restored.update(self.restore(m).split())
         for w in odd:
             words.update(LETTERS.findall(w))
         words |= restored
@@ -188,8 +218,8 @@ def learn_sample(labels: DataFrame, most: int = LABELLED) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, width: int = FEATURES) -> Model:
     """docs: doc_id and text of the whole corpus; labels: the rows that may be learned from."""
     spark = docs.sparkSession
-    grams = count_trigrams(docs).filter(F.col("n") >= LEAST_SEEN).orderBy(F.desc("n"), "gram").limit(MOST_TRIGRAMS)
-    counts = {r["gram"]: r["n"] for r in grams.collect()}
+    grams = count_trigrams(docs).filter(F.col("n") >= LEAST_SEEN)
+    counts = {r["gram"]: r["n"] for r in sorted(grams.collect())}  # as many as alphabets have
     shared = spark.sparkContext.broadcast(counts)
     sample = [(r["doc_id"], r["toxic"]) for r in learn_sample(labels, most).collect()]
     total, toxic = len(sample), sum(y for _, y in sample)

@@ -162,9 +162,48 @@ def test_toxicity_cases(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels.limit(0)), "doc_id").collect() == []
 
 
+def test_long_and_edged_disguises_are_restored():
+    words = "you are the stupid idiot and that clown is such trash loser yours area star".split()
+    r = toxicity.Restorer(dict(toxicity.trigrams(set(words))))
+    assert {"you", "are", "stupid"} <= r.features(" ".join("youarestupid")) and {"you", "stupid"} <= r.features("y o u a r e s o " + "t h e " * 30 + "s t u p i d")
+    assert "stupid" in r.features("st" + "u" * 300 + "pid") and "stupid" in r.features("$tupid") and "loser" in r.features("(1055er lo$er!")
+    assert len(r.restore("a1" * 20_000)) <= 40_000
+
+
+def test_the_character_model_does_not_depend_on_partitions(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text")
+    one, seven = (sorted(map(tuple, toxicity.count_trigrams(d).collect())) for d in (docs.coalesce(1), docs.repartition(7)))
+    distinct = {c for r in docs.collect() for w in (r.text or "").lower().split() if len(c := toxicity.clean(w)) > 1 and toxicity.CASED.fullmatch(c)}
+    assert one == seven == sorted(toxicity.trigrams(distinct).items())
+
+
 # 8
 
 
+def test_copies_take_no_language_away(spark):
+    german = [f"der Hund und die Katze gehen nicht in das Haus Nummer {'eins zwei drei vier fünf'.split()[k]}" for k in range(5)]
+    english = [f"the dog and the cat do not go into the house of {' '.join(random.Random(k).sample('one two three four five six'.split(), 3))}" for k in range(300)]
+    docs = spark.createDataFrame([(t, "de") for t in german * 4_000] + [(t, "en") for t in english], "text string, lang string")
+    got = [language.fit(docs.repartition(k)) for k in (1, 7)]
+    assert got[0] == got[1] and set(got[0]) == {"de", "en"} and all(w.encode() in got[0]["de"] for w in "eins zwei drei vier fünf".split())
+    asked = spark.createDataFrame([(1, "die Katze und der Hund", "x"), (2, "the cat and the dog", "x"), (3, "\u0301\u0301", "x")], "doc_id long, text string, lang_pred string")
+    assert {r.doc_id: r.lang_pred for r in language.predict(asked, got[0], "doc_id").collect()} == {1: "de", 2: "en", 3: "und"}
+
+
+def test_a_dictionary_holds_a_share_of_every_text():
+    texts = [f"{chr(97 + k)}{chr(97 + k)} " * (10 if k < 3 else 60_000) for k in range(8)]
+    content = language.dictionary(texts)
+    assert len(content) <= language.DICTIONARY_BYTES and all(content.count(f"{chr(97 + k)}{chr(97 + k)}".encode()) >= (10 if k < 3 else 8_000) for k in range(8))
+
+
+def test_whole_long_texts_are_sampled_and_compressed(spark):
+    long = "the words of a long text " * 20_000
+    docs = spark.createDataFrame([(long + "zebra quagga okapi", "en"), ("un texte court", "fr")], "text string, lang string")
+    content = language.fit(docs)
+    assert b"okapi" in content["en"] and len(content["en"]) <= 2 * language.PIECE
+    assert language.Classifier(content)(long)[0] == "en"
+
+
 def test_language_on_held_out_rows(spark):
     out = queries.language_id(spark, "/root/testdata/sf0.01").collect()
     true = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
