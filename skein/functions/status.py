@@ -63,17 +63,29 @@ def archive_error(status: Column, body: Column, site: str = "web.archive.org") -
     return status.isin(403, 404, 429, 500, 502, 503, 504) & F.coalesce(ascii_body.contains(site), F.lit(False))
 
 
+# What the sandbox writes before the fate of the crawler, fates that are timeouts, and fates that mean lack of memory.
+SANDBOX = "isolate: phantomjs: "
+TIMEOUTS = ["Alarm clock", "CPU time limit exceeded"]
+MEMORY = ["Segmentation fault", "Killed"]
+
+
 def stderr_result(text: Column) -> Column:
-    """Category of what a crawler wrote to stderr."""
-    has = lambda p: text.rlike(p)
-    return (
-        F.when(text.isNull() | (F.trim(text) == ""), "ok")
-        .when(has("(?i)timed? ?out|timeout"), "timeout")
-        .when(has("(?i)bad_alloc|out of memory|cannot allocate"), "crawler failure")
-        .when(has("(?i)segmentation|crash|signal|traceback|has crashed"), "crawler failure")
-        .when(has("(?i)proxy"), "proxy failure")
-        .otherwise("crawler failure")
-    )
+    """struct(status, detail, log) of what a crawler that failed wrote to stderr; log: the lines that say nothing of its fate.
+
+    The last line that tells a fate decides; an abort keeps the detail of the line before it.
+    """
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x != "")
+    state = lambda status, detail: F.struct(status.alias("status"), detail.alias("detail"))
+    failed, none = F.lit("crawler failure"), F.lit("")
+
+    def step(acc: Column, line: Column) -> Column:
+        fate = F.substr(line, F.lit(len(SANDBOX) + 1))
+        detail = F.when(fate.isin(MEMORY), "out of memory").when((fate == "Aborted") & (acc["detail"] != ""), acc["detail"]).otherwise(fate)
+        told = F.when(fate.isin(TIMEOUTS), state(F.lit("timeout"), fate)).otherwise(state(failed, detail))
+        return F.when(line.startswith(SANDBOX), told).when(line.contains("bad_alloc"), state(failed, F.lit("out of memory"))).otherwise(acc)
+
+    told = F.aggregate(lines, state(none, none), step, lambda acc: F.when(acc["status"] == "", state(failed, F.lit("unexplained unsuccessful exit"))).otherwise(acc))
+    return F.struct(told["status"].alias("status"), told["detail"].alias("detail"), F.filter(lines, lambda x: ~(x.startswith(SANDBOX) | x.contains("bad_alloc"))).alias("log"))
 
 
 def source_group(label: Column) -> Column:

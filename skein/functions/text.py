@@ -6,6 +6,7 @@ import difflib
 import html as entities
 import lzma
 import re
+import time
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -171,7 +172,8 @@ def batches(words: list[str], most: int = BATCH_WORDS, chars: int = BATCH_CHARS)
 def translate(words: DataFrame, translations: DataFrame, doc: str = "doc_id") -> DataFrame:
     """words (doc, pos, lang, word) with translations (lang, word, engl): ``languages,words`` of each document; what has none stays, squeezed."""
     own = words.join(translations, ["lang", "word"], "left")
-    text = F.regexp_replace(F.trim(F.coalesce("engl", F.lower("word"))), r"\s+", " ")
+    fold = pandas_map(lambda w: None if w is None else unicodedata.normalize("NFKC", w).casefold(), "string")
+    text = F.regexp_replace(F.trim(F.coalesce("engl", fold(F.col("word")))), r"\s+", " ")
     per = own.groupBy(doc).agg(F.array_join(F.array_sort(F.collect_set("lang")), " ").alias("langs"), F.array_sort(F.collect_list(F.struct("pos", text.alias("w")))).alias("ws"))
     return per.select(doc, F.concat_ws(",", "langs", F.array_join(F.transform("ws", lambda s: s["w"]), " ")).alias("text"))
 
@@ -216,18 +218,24 @@ def unzip(data: Column) -> Column:
 
 
 def compressed_sizes(text: Column) -> Column:
-    """struct of bytes: raw, zlib default, zlib 9, LZMA2, delta and LZMA2."""
+    """struct of bytes: raw, zlib default, zlib 9, LZMA2, delta and LZMA2; and the CPU seconds of each (tz, tz9, tx, tdx)."""
+    ways = [zlib.compress, lambda b: zlib.compress(b, 9)]
+    ways += [lambda b, f=f: lzma.compress(b, lzma.FORMAT_RAW, filters=f) for f in ([{"id": lzma.FILTER_LZMA2}], [{"id": lzma.FILTER_DELTA}, {"id": lzma.FILTER_LZMA2}])]
 
     def sizes(s: pd.Series) -> pd.DataFrame:
         rows = []
         for t in s:
             b = (t or "").encode()
-            xz = lambda f: len(lzma.compress(b, lzma.FORMAT_RAW, filters=f))  # noqa: B023, E731
-            rows.append((len(b), len(zlib.compress(b)), len(zlib.compress(b, 9)), xz([{"id": lzma.FILTER_LZMA2, "preset": 1}]), xz([{"id": lzma.FILTER_DELTA, "dist": 1}, {"id": lzma.FILTER_LZMA2, "preset": 1}])))
-        return pd.DataFrame(rows, columns=["raw", "z", "z9", "x", "dx"])
+            sizes, times = [], []
+            for way in ways:
+                began = time.process_time()
+                sizes.append(len(way(b)))
+                times.append(time.process_time() - began)
+            rows.append((len(b), *sizes, *times))
+        return pd.DataFrame(rows, columns=["raw", "z", "z9", "x", "dx", "tz", "tz9", "tx", "tdx"])
 
     sizes.__annotations__ = {"s": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(sizes, "raw int, z int, z9 int, x int, dx int")(text)
+    return F.pandas_udf(sizes, "raw int, z int, z9 int, x int, dx int, tz double, tz9 double, tx double, tdx double")(text)
 
 
 # Frequent words of some languages for the small detector.

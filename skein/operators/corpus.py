@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.relational import row_numbers
+
 
 def presegment(text: Column) -> Column:
     """Lower-case runs of letters and digits: the native stand-in for the full segmenter in ``functions.text``."""
@@ -54,11 +56,19 @@ def tfidf(tf: DataFrame, doc: str = "doc_id", group: str = "lang") -> DataFrame:
 def multi_level_df(words: DataFrame, doc: str = "doc_id", levels: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """Document frequency of a word overall and within each of the given columns, in one pass over grouping sets."""
     base = words.select(doc, "word", *levels).distinct()
-    sets = ", ".join(["(word)", *[f"({c}, word)" for c in levels]])
-    view = "multi_level_words"
-    base.createOrReplaceTempView(view)
-    cols = ", ".join(levels)
-    return base.sparkSession.sql(f"SELECT word, {cols}, count(DISTINCT {doc}) AS df FROM {view} GROUP BY GROUPING SETS ({sets})")
+    sets = [[F.col("word")], *[[F.col(c), F.col("word")] for c in levels]]
+    return base.groupingSets(sets, "word", *levels).agg(F.count_distinct(doc).alias("df")).select("word", *levels, "df")
+
+
+def multi_level_tfidf(words: DataFrame, doc: str = "doc_id", levels: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+    """doc, level, word, tf, tfidf: TF-IDF of each word of a document within the whole corpus (level ``all``) and within its value of each column."""
+    tf = words.groupBy(doc, *levels, "word").agg(F.count("*").alias("tf"))
+    own = tf.select(doc, "word", "tf", F.explode(F.array(F.struct(F.lit("all").alias("level"), F.lit("").alias("v")), *[F.struct(F.lit(c).alias("level"), F.col(c).alias("v")) for c in levels])).alias("l")).select(doc, "word", "tf", "l.*")
+    own = own.groupBy(doc, "level", "v", "word").agg(F.sum("tf").alias("tf"))
+    docs = own.select(doc, "level", "v").distinct().groupBy("level", "v").agg(F.count("*").alias("n_docs"))  # a row for each value of a level
+    df = own.groupBy("level", "v", "word").agg(F.count("*").alias("df"))
+    idf = df.join(docs, (df["level"] == docs["level"]) & df["v"].eqNullSafe(docs["v"])).select(df["level"].alias("il"), df["v"].alias("iv"), df["word"].alias("iw"), F.log(F.col("n_docs").cast("double") / F.col("df")).alias("idf"))
+    return own.join(idf, (F.col("level") == F.col("il")) & F.col("v").eqNullSafe(F.col("iv")) & (F.col("word") == F.col("iw"))).select(doc, "level", "word", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
 
 def vocabulary(words: DataFrame, stop: DataFrame, size: int = 50_000) -> DataFrame:
@@ -67,12 +77,20 @@ def vocabulary(words: DataFrame, stop: DataFrame, size: int = 50_000) -> DataFra
 
 
 def word_rank(words: DataFrame) -> DataFrame:
-    """Words of each language by highest nfidf, then document and corpus frequency, then word."""
+    """Words of each language by highest nfidf, then document and corpus frequency, then word.
+
+    One count of words in documents gives all four figures. Ranks are numbers in the order of all words by language, less those before the language.
+    """
     tf = term_counts(words)
-    best = tfidf(tf).groupBy("lang", "word").agg(F.max("nfidf").alias("nfidf"))
-    out = best.join(doc_freq(tf), ["lang", "word"]).join(word_freq(words), ["lang", "word"])
-    order = Window.partitionBy("lang").orderBy(F.desc(F.round("nfidf", 9)), F.desc("rdf"), F.desc("cwf"), "word")
-    return out.withColumn("rank", F.row_number().over(order))
+    per_doc = Window.partitionBy("doc_id")
+    own = tf.withColumn("tf_all", F.sum("tf").over(Window.partitionBy("doc_id", "word"))).withColumn("norm", F.lit(0.5) + F.lit(0.5) * F.col("tf_all") / F.max("tf_all").over(per_doc))
+    n = docs_per_group(tf)  # a row for each language
+    best = own.groupBy("lang", "word").agg(F.max("norm").alias("norm"), F.count("*").alias("rdf"), F.sum("tf").alias("cwf")).join(F.broadcast(n), "lang")
+    best = best.select("lang", "word", (F.col("norm") * F.log(F.col("n_docs").cast("double") / F.col("rdf"))).alias("nfidf"), "rdf", "cwf")
+    keyed = best.withColumns({"o1": -F.round("nfidf", 9), "o2": -F.col("rdf"), "o3": -F.col("cwf")})
+    numbered = row_numbers(keyed, ["lang", "o1", "o2", "o3", "word"], "rank")
+    before = numbered.groupBy("lang").agg((F.min("rank") - 1).alias("before"))
+    return numbered.join(F.broadcast(before), "lang").select("lang", "word", "nfidf", "rdf", "cwf", (F.col("rank") - F.col("before")).cast("int").alias("rank"))
 
 
 def duplicate_profile(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

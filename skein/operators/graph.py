@@ -35,12 +35,12 @@ def topo_sort(edges: DataFrame, trace: str = "trace") -> DataFrame:
     return edges.groupBy(trace).applyInPandas(one, f"{trace} {dict(edges.dtypes)[trace]}, pos int, level int, node string")
 
 
-def paths(edges: DataFrame, source: str, longest: int = 32) -> DataFrame:
-    """All simple paths from the source to nodes without a way on, by one join for each hop."""
+def paths(edges: DataFrame, source: str) -> DataFrame:
+    """All simple paths from the source to nodes without a way on, by one join for each hop until none goes on."""
     step = edges.select(F.col("src").alias("__s"), "dst").distinct()
     cur = edges.sparkSession.createDataFrame([([source],)], "path array<string>")
     done = None
-    for _ in range(longest):
+    while True:
         nxt = cur.join(step, F.element_at("path", -1) == F.col("__s"), "left").withColumn("go", F.col("dst").isNotNull() & ~F.array_contains("path", F.coalesce("dst", F.lit(""))))
         moved = nxt.filter("go").select(F.array_append("path", F.col("dst")).alias("path")).distinct()
         ended = cur.join(moved.select(F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).distinct(), "path", "left_anti")
@@ -48,7 +48,6 @@ def paths(edges: DataFrame, source: str, longest: int = 32) -> DataFrame:
         cur = moved
         if cur.isEmpty():
             return done
-    return done.unionByName(cur)
 
 
 def common_prefixes(traces: DataFrame, key: str, hops: str) -> DataFrame:

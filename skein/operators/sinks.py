@@ -29,10 +29,10 @@ def latex_matrix(cells: Iterable[tuple[str, str, int]], names: list[str]) -> str
     return "\n".join([r"\begin{tabular}{l" + "r" * len(names) + "}", " & ".join(["", *names]) + r" \\", *rows, r"\end{tabular}"])
 
 
-def report_by_hash(sets: DataFrame, hash_col: str, most: int = 100) -> str:
-    """An indented report of the contents with most observations (a top list)."""
-    top = sets.orderBy(F.desc(F.size("seen")), hash_col).limit(most).collect()
-    return "\n".join("\n".join([str(r[hash_col]), *[f"  {' '.join(map(str, s))}" for s in r["seen"]]]) for r in top)
+def report_by_hash(sets: DataFrame, hash_col: str) -> DataFrame:
+    """n, report: an indented report of each content with its n observations; sorted by n it is the report of all."""
+    seen = F.transform("seen", lambda s: F.concat(F.lit("  "), F.concat_ws(" ", *[s[c.name].cast("string") for c in sets.schema["seen"].dataType.elementType.fields])))
+    return sets.select(F.size("seen").alias("n"), F.concat_ws("\n", F.col(hash_col).cast("string"), seen).alias("report"))
 
 
 def site_blocks(urls: DataFrame) -> DataFrame:

@@ -115,3 +115,14 @@ def overlap_matrix(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id, sha256(text) AS hash FROM documents")
 def content_hash(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+
+
+_LEVELS = "l AS (SELECT doc_id, 'all' AS level, '' AS v, word FROM words UNION ALL SELECT doc_id, 'source', source, word FROM words UNION ALL SELECT doc_id, 'lang', lang, word FROM words)"
+
+
+@query(
+    f"WITH {WORDS}, {_LEVELS}, t AS (SELECT doc_id, level, v, word, count(*) AS tf FROM l GROUP BY ALL), d AS (SELECT level, v, count(DISTINCT doc_id) AS n FROM t GROUP BY ALL), f AS (SELECT level, v, word, count(*) AS df FROM t GROUP BY ALL)"
+    " SELECT doc_id, level, word, tf, round(tf * ln(CAST(n AS DOUBLE) / df), 6) AS tfidf FROM t JOIN d ON t.level = d.level AND t.v IS NOT DISTINCT FROM d.v JOIN f ON f.level = t.level AND f.v IS NOT DISTINCT FROM t.v AND f.word = t.word".replace("doc_id, level, word, tf", "t.doc_id, t.level, t.word, tf")
+)
+def tfidf_by_level(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.multi_level_tfidf(words(spark, sf)).select("doc_id", "level", "word", "tf", F.round("tfidf", 6).alias("tfidf"))

@@ -50,22 +50,26 @@ def site_variants(spark: SparkSession, sf: str) -> DataFrame:
     return url.expand_sites(hosts, "host")
 
 
-@query("SELECT host, host AS registered FROM (SELECT DISTINCT regexp_extract(regexp_extract(url, '^https?://([^/?#]+)', 1), '([^.]+\\.[^.]+)$', 1) AS host FROM pages)")
+@query("SELECT host, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS registered FROM (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host FROM pages)")
 def registered_domains(spark: SparkSession, sf: str) -> DataFrame:
-    host = F.regexp_extract(F.regexp_extract("url", "^https?://([^/?#]+)", 1), r"([^.]+\.[^.]+)$", 1)
-    return pages(spark, sf).select(host.alias("host")).distinct().withColumn("registered", url.pandas_map(url.registered_domain, "string")(F.col("host")))
+    hosts = pages(spark, sf).select(url.domain(F.col("url")).alias("host")).distinct()
+    return hosts.withColumn("registered", url.pandas_map(url.registered_domain, "string")(F.col("host")))
 
 
 def _extracted(spark: SparkSession, sf: str) -> DataFrame:
     return html.extract_pages(pages(spark, sf), keep=("page_id",))
 
 
-@query()
+_FLAT = "trim(regexp_replace(nfc_normalize({}), '\\s+', ' ', 'g'))"
+_PLAIN = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, {_FLAT.format(_PLAIN.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))} AS title FROM pages")
 def html_title(spark: SparkSession, sf: str) -> DataFrame:
     return _extracted(spark, sf).select("page_id", "title")
 
 
-@query()
+@query(f"SELECT page_id, {_FLAT.format(_PLAIN.format("regexp_replace(h, '<[^>]*>', '', 'g')"))} AS heading FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<h[1-6]>(.*?)</h[1-6]>', 1)) AS h FROM pages)")
 def html_headings(spark: SparkSession, sf: str) -> DataFrame:
     return _extracted(spark, sf).select("page_id", F.explode("headings").alias("heading"))
 
@@ -75,12 +79,12 @@ def html_link_tags(spark: SparkSession, sf: str) -> DataFrame:
     return _extracted(spark, sf).select("page_id", F.coalesce(F.try_element_at("dom_stats.tags", F.lit("a")), F.lit(0)).alias("n_links"))
 
 
-@query()
+@query("SELECT DISTINCT page_id, CASE WHEN l LIKE '/%' THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || l ELSE l END AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS l FROM pages)")
 def html_links(spark: SparkSession, sf: str) -> DataFrame:
     return _extracted(spark, sf).select("page_id", F.explode("links").alias("link"))
 
 
-@query()
+@query("SELECT page_id, unnest(CASE WHEN len(r) = 0 THEN [NULL] ELSE r END) AS resource FROM (SELECT page_id, list_distinct(regexp_extract_all(html, '<(?:img|script|iframe)[^>]* src=\"([^\"]*)\"', 1)) AS r FROM pages)")
 def html_resources(spark: SparkSession, sf: str) -> DataFrame:
     return _extracted(spark, sf).select("page_id", F.explode_outer("resources").alias("resource"))
 
@@ -119,12 +123,12 @@ def frame_pages(spark: SparkSession, sf: str) -> DataFrame:
     return html.frame_pages(pages(spark, sf))
 
 
-@query()
+@query(f"SELECT doc_id, {_FLAT.format('text')} AS text FROM documents")
 def normalized_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.normalized(F.col("text")).alias("text"))
 
 
-@query()
+@query("SELECT doc_id, CAST(length_grapheme(text) AS INTEGER) AS n FROM documents")
 def grapheme_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.n_graphemes(F.col("text")).alias("n"))
 
@@ -134,13 +138,16 @@ def segmented_words(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.explode(text.segmented(F.col("lang"), F.col("text"))).alias("word")).groupBy("doc_id").agg(F.count("*").alias("words"), F.count_distinct("word").alias("kinds"))
 
 
-@query("SELECT doc_id, count(*) FILTER (WHERE NOT regexp_matches(w, '[\\p{L}]')) AS nonwords, count(*) AS tokens FROM (SELECT doc_id, unnest([x FOR x IN string_split(text, ' ') IF x <> '']) AS w FROM documents) GROUP BY doc_id")
+@query("SELECT doc_id, count(*) FILTER (WHERE regexp_matches(w, '^[\\p{P}\\p{S}\\p{Z}\\p{Cc}\\p{Cf}\\p{N}]+$')) AS nonwords, count(*) AS tokens FROM (SELECT doc_id, unnest([x FOR x IN string_split(text, ' ') IF x <> '']) AS w FROM documents) GROUP BY doc_id")
 def nonword_counts(spark: SparkSession, sf: str) -> DataFrame:
     w = table(spark, sf, "documents").select("doc_id", F.explode(F.filter(F.split("text", " "), lambda x: x != "")).alias("w"))
-    return w.groupBy("doc_id").agg(F.count_if(~F.col("w").rlike(r"[\p{L}]")).alias("nonwords"), F.count("*").alias("tokens"))
+    return w.groupBy("doc_id").agg(F.count_if(text.is_nonword(F.col("w"))).alias("nonwords"), F.count("*").alias("tokens"))
 
 
-@query()
+@query(
+    "SELECT CASE WHEN regexp_matches(w, '^[\\p{P}\\p{S}\\p{Z}\\p{Cc}\\p{Cf}]+$') THEN 'symbols' WHEN regexp_matches(w, '(?i)^(?:https?:|www\\.)|^[a-z0-9-]+(?:\\.[a-z0-9-]+)*\\.[a-z]{2,6}(?:/|$)') THEN 'urls'"
+    " WHEN regexp_matches(w, '^[\\p{N}\\p{P}\\p{S}]+$') THEN 'numeric' ELSE 'words' END AS kind, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY 1"
+)
 def token_classes(spark: SparkSession, sf: str) -> DataFrame:
     w = table(spark, sf, "documents").select(F.explode(F.split("text", r"\s+")).alias("w")).filter("w <> ''")
     return w.groupBy(text.token_class(F.col("w")).alias("kind")).agg(F.count("*").alias("n"))
@@ -168,6 +175,18 @@ def status_category(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", status.http_result(code, F.lit("X")).alias("r")).select("event_id", "r.result", "r.detail")
 
 
+_STDERR = "CASE event_id % 6 WHEN 0 THEN 'isolate: phantomjs: Alarm clock' WHEN 1 THEN 'what(): std::bad_alloc' || chr(10) || 'isolate: phantomjs: Aborted' WHEN 2 THEN 'isolate: phantomjs: Killed' WHEN 3 THEN 'odd ' || event_type WHEN 4 THEN 'isolate: phantomjs: Aborted' ELSE 'isolate: phantomjs: exit ' || user_id END"
+
+
+@query(
+    "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'timeout' ELSE 'crawler failure' END AS status, CASE event_id % 6 WHEN 0 THEN 'Alarm clock' WHEN 1 THEN 'out of memory' WHEN 2 THEN 'out of memory' WHEN 3 THEN 'unexplained unsuccessful exit' WHEN 4 THEN 'Aborted' ELSE 'exit ' || user_id END AS detail,"
+    " CASE event_id % 6 WHEN 3 THEN 'odd ' || event_type ELSE '' END AS log FROM events"
+)
+def stderr_results(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").withColumn("r", status.stderr_result(F.expr(_STDERR)))
+    return e.select("event_id", "r.status", "r.detail", F.array_join("r.log", "|").alias("log"))
+
+
 @query("SELECT event_id, (user_id // 24) * 86400.0e0 + (user_id % 24) * 3600 + 61.5e0 AS seconds FROM events")
 def interval_parse(spark: SparkSession, sf: str) -> DataFrame:
     shown = F.format_string("%d days, %d:01:01.5", F.floor(F.col("user_id") / 24), F.col("user_id") % 24)

@@ -275,4 +275,4 @@ def test_sinks(spark, tmp_path):
     urls = spark.createDataFrame([("http://x/b",), ("http://x/a",), ("http://x/a",)], "url string")
     assert rows(sinks.site_blocks(urls)) == [("http://x", ["http://x/a", "http://x/b"])]
     sets = corpus.observation_sets(spark.createDataFrame([("h", "u", "us")], "hash string, url string, cc string"), "hash", "url", ["url", "cc"])
-    assert sinks.report_by_hash(sets, "hash") == "h\n  u us"
+    assert rows(sinks.report_by_hash(sets, "hash")) == [(1, "h\n  u us")]
