@@ -122,7 +122,7 @@ def start_stop_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("user_id", F.col("start.ts").alias("start"), F.col("stop.ts").alias("stop"))
 
 
-@query("SELECT user_id, list_reduce(list(CAST(value AS DOUBLE) ORDER BY event_id), (a, x) -> a + 2.0e0 / 11 * (x - a)) AS ewma FROM events GROUP BY user_id")
+@query("SELECT user_id, list_reduce(list(CAST(value AS DOUBLE) ORDER BY event_id), lambda a, x: a + 2.0e0 / 11 * (x - a)) AS ewma FROM events GROUP BY user_id")
 def ewma(spark: SparkSession, sf: str) -> DataFrame:
     return h.ewma(table(spark, sf, "events"), "user_id", "event_id", "value")
 
