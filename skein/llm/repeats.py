@@ -2,7 +2,7 @@
 
 A suffix here starts a window of WINDOW words. Suffixes whose window cannot repeat are dropped first: every window is named by its anchor, the least
 hash among its GRAM-word sequences; equal windows have equal anchors, so only anchors that occur in two documents matter (about one anchor for 22
-words is counted, pre-aggregated, not one for each word). The suffixes left are split by that prefix key, and by a salt where one key would not fit in
+words is counted, pre-aggregated, not one for each word). Equal texts are one entry, so no number of copies makes a key hot. The suffixes left are split by that prefix key, and by a salt where one key would not fit in
 memory, into groups of bounded size. A task builds the suffix tree of its group down to depth WINDOW by naming ever longer prefixes (1, 2, 4, ... words;
 two suffixes have one name at a depth exactly if they share a node there). Nodes at full depth are the repeats: each holds the least doc_id of its
 suffixes, and every suffix of a larger document is a repeat. A salted key's groups hand on the suffixes of the least doc_id of each of their nodes at full depth (more
@@ -29,6 +29,8 @@ WINDOW, GRAM = 50, 8
 #: Occurrences of one prefix key in a group (each has at most about 2 * WINDOW words), and words in one tree.
 GROUP_ROWS, TREE_ROWS = 1_000, 10_000
 CHUNK_BYTES = 2_000_000
+#: End of a run that takes in all words.
+ALL = 2**31 - 1
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _LETTER = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -251,8 +253,8 @@ def repeats_in(table: pa.Table, window: int) -> pa.RecordBatch | None:
     return pa.record_batch([pa.array(c[0]), pa.array(c[1]), pa.array(c[2].astype(np.int32)), pa.array(c[3].astype(np.int32)), pa.array(c[4], mask=~c[6]), pa.array(c[5], mask=~c[6])], ["doc_id", "th", "s", "e", "w1", "w2"])
 
 
-def keep_words(docs: DataFrame) -> DataFrame:
-    """docs have gone, runs of words: doc_id, n_words, n_removed, spans, kept_text (kept words joined by one space)."""
+def keep_words(docs: DataFrame, window: int) -> DataFrame:
+    """docs have gone, runs of words (up to ALL: every word of a text that holds a window): doc_id, n_words, n_removed, spans, kept_text (kept words joined by one space)."""
     spans_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +262,7 @@ def keep_words(docs: DataFrame) -> DataFrame:
             rows = []
             for text, gone in zip(texts, batch.column(2).to_pylist()):
                 own, spans, kept, at = text.split(), [], [], 0
-                for g in sorted((g["s"], g["e"]) for g in gone or []):
+                for g in sorted((g["s"], min(g["e"], len(own))) for g in gone or [] if g["e"] < ALL or len(own) >= window):
                     if spans and g[0] <= spans[-1]["e"]:
                         spans[-1]["e"] = max(spans[-1]["e"], g[1])
                     else:
@@ -278,18 +280,22 @@ def keep_words(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, n_words, n_removed, spans (removed runs of words, end excluded) and kept_text of each row of docs."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    found = common.cut(find_anchors(rows, window))
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.xxhash64(F.lit(2), "text").alias("th2"), F.col("text").cast("binary").alias("text"))
+    # equal texts are one entry, that of their least doc_id: the others lose all that windows cover, which is all
+    names = rows.filter("doc_id is not null and text is not null").select("doc_id", "th", "th2")
+    copied = common.cut(names.groupBy("th", "th2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi"))
+    copies = names.join(copied, ["th", "th2"]).filter("doc_id > lo").select("doc_id", "th").distinct()
+    held = packed(rows.drop("th2")).repartition("doc_id", "th")
+    found = common.cut(find_anchors(rows.drop("th2"), window).groupBy("th", "h").agg(F.min("doc_id").alias("doc_id")))
     keys = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
     keys = keys.select("h", F.ceil(F.col("n") / group_rows).cast("int").alias("salts"))
     wanted = found.join(keys, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "salts")).alias("wanted"))
-    held = packed(rows).repartition("doc_id", "th")
     regions = find_regions(held.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "text", "wanted"), window)
     judged = common.by_group(regions, ["h", "salt"], lambda t: repeats_in(t, window), "doc_id long, th long, s int, e int, w1 long, w2 long", rows=TREE_ROWS)
     judged = common.cut(judged)
     over = judged.filter("w1 is not null")
     least = over.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"))
     late = over.join(least, ["w1", "w2"]).filter("doc_id > lo").select("doc_id", "th", "s", "e")
-    gone = judged.filter("w1 is null").select("doc_id", "th", "s", "e").union(late)
+    gone = judged.filter("w1 is null").select("doc_id", "th", "s", "e").union(late).union(copies.select("doc_id", "th", F.lit(0).alias("s"), F.lit(ALL).alias("e")))
     gone = gone.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("gone"))
-    return keep_words(held.join(gone, ["doc_id", "th"], "left").select("doc_id", "text", "gone"))
+    return keep_words(held.join(gone, ["doc_id", "th"], "left").select("doc_id", "text", "gone"), window)

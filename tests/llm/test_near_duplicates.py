@@ -162,6 +162,32 @@ def test_repeats_with_a_short_window_and_empty_table(spark):
     assert repeats.remove_repeats(df.limit(0)).collect() == []
 
 
+def test_copies_are_one_entry_of_a_group(spark, monkeypatch):
+    rng = random.Random(13)
+    base = some_words(rng, 80)
+    rows = [(5_000 - k, " ".join(base)) for k in range(3_000)] + [(9_000, "\n".join(base)), (9_001, " ".join(base[10:70] + ["end"])), (3, "short copy"), (4, "short copy")]
+    seen = []
+    monkeypatch.setattr(repeats, "repeats_in", lambda t, w, f=repeats.repeats_in: f(t, w))
+    own = common.by_group
+
+    def by_group(df, keys, *a, **k):
+        seen.append(df.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return own(df, keys, *a, **k)
+
+    monkeypatch.setattr(common, "by_group", by_group)
+    out = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), group_rows=100).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out), key=str) == brute_repeats(rows, 50)
+    assert seen[0] <= 10
+
+
+def test_a_very_long_text_with_repeats(spark):
+    rng = random.Random(23)
+    long = some_words(rng, 60_000, 5_000)
+    rows = [(1, " ".join(long)), (2, " ".join(some_words(rng, 30) + long[20_000:40_000]))]
+    out = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out), key=str) == brute_repeats(rows, 50)
+
+
 def test_prefix_names_are_the_nodes_of_a_suffix_tree():
     rng = random.Random(3)
     ids = np.array([rng.randrange(3) for _ in range(400)], np.uint64)
