@@ -27,8 +27,8 @@ from skein.llm import common
 
 WINDOW, GRAM = 50, 8
 #: Occurrences of one prefix key in a group (each has at most about 2 * WINDOW words), and words in one tree.
-GROUP_ROWS, TREE_ROWS = 1_000, 10_000
-CHUNK_BYTES = 2_000_000
+GROUP_ROWS, TREE_ROWS = 1_000, 3_000
+CHUNK_BYTES = 500_000
 #: End of a run that takes in all words.
 ALL = 2**31 - 1
 
