@@ -19,8 +19,8 @@ from skein.llm import common
 
 BLOCKS = 1_000_000
 MOST_PASSES = 3
-#: A shard has about SHARD_ROWS rows, and a source at most SHARDS shards.
-SHARD_ROWS, SHARDS = 2_000, 4_096
+#: Rows of a shard, about. The driver plans one number for each shard, 500 for a million rows.
+SHARD_ROWS = 2_000
 SEED = 42
 
 
@@ -90,7 +90,7 @@ def plan(shards: list[tuple[str | None, int, int]], passes: int = MOST_PASSES, b
 def mix(docs: DataFrame, passes: int = MOST_PASSES, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and text_hash of each row of docs. taken: words the mix takes of it, repeats counted."""
     sized = common.cut(docs.select("doc_id", "source", common.n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")))
-    rows = sized.groupBy("source").agg(F.least(F.ceil(F.count("*") / shard_rows), F.lit(SHARDS)).cast("int").alias("shards"))
+    rows = sized.groupBy("source").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
     same = lambda a, b: a.eqNullSafe(b)
     sized = sized.join(rows.withColumnRenamed("source", "s"), same(F.col("source"), F.col("s"))).drop("s")
     sized = sized.withColumn("deal", F.xxhash64(F.lit(seed), "doc_id", "text_hash")).withColumn("shard", F.pmod("deal", "shards").cast("int"))

@@ -121,6 +121,34 @@ def test_main_text_of_unmarked_pages_keeps_the_surge():
     assert out.split("\n") == [f"{'words of an article ' * 8}{i}" for i in range(6)]
 
 
+def test_names_in_an_article_that_hold_marks_are_kept():
+    page = "<article><p>A</p><section class='related-work'><p>R</p></section><div class='social-policy'>S</div><div class='related-posts'>x</div><div class='social share-buttons'>y</div></article>"
+    assert main_text.main_text(page) == "A\nR\nS"
+
+
+def test_pages_without_marks():
+    text = "A paragraph of some words that is the only text on this page."
+    assert main_text.main_text(f"<div>Home</div><div>News</div><div>Sport</div><div>Contact</div><p>{text}</p><div>© 2024 Example Ltd. All rights reserved.</div>") == text
+    links = "".join(f"<li><a href='/{k}'>a longer link of five words {k}</a></li>" for k in range(9))
+    assert main_text.main_text(f"<ul>{links}</ul><h1>Head</h1><p>{text}</p><p>Yes.</p><h2>Sub</h2><p>{text}</p><ul>{links}</ul>") == f"Head\n{text}\nYes.\nSub\n{text}"
+    assert main_text.main_text(f"<article><h1>T</h1><p>{text}</p><ul>{links}</ul></article>").split("\n")[:2] == ["T", text]
+    assert "link of five words 5" not in main_text.main_text(f"<article><h1>T</h1><p>{text}</p><ul>{links}</ul></article>")
+
+
+def brute_main(blocks):
+    """Blocks (text, weight): kept if a line of weight stands among it and the two before it."""
+    return [t for i, (t, _) in enumerate(blocks) if any(w for _, w in blocks[max(0, i - 2) : i + 1])]
+
+
+def test_lines_of_an_article_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(200):
+        blocks = [(f"t{k} {'word ' * rng.randint(0, 8)}".strip(), rng.random() < 0.4) for k in range(rng.randint(1, 14))]
+        page = "<article>" + "".join(f"<p>{t}</p>" if w else f"<p><a href=x>{t}</a></p>" for t, w in blocks) + "</article>"
+        want = brute_main(blocks) if any(w for _, w in blocks) else [t for t, _ in blocks]
+        assert main_text.main_text(page).split("\n") == want
+
+
 def test_extract_keeps_rows_and_the_article(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     out = main_text.extract(pages.withColumn("text", queries.F.lit("clash"))).collect()
