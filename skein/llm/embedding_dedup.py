@@ -4,7 +4,9 @@ Rotations are learned (Gong & Lazebnik, iterative quantisation) from a bounded s
 rotation that brings them nearest to the corners of the cube is found by turns of signs and orthogonal Procrustes. A vector's signs are its binary code.
 Codes are cut into substrings of equal width, each the key of a table; vectors that share a key in any table are compared by their original values in
 double precision. The width follows the number of vectors (buckets of about BUCKET vectors), and as many tables are made, from several rotations,
-as bring the chance that a pair at the threshold shares none of them under MISS.
+as bring the chance that a pair at the threshold shares none of them under MISS. Centring widens the angle of near vectors where all have a direction in common;
+so sampled vectors are moved to the threshold, the share of them that meets in no table is measured, and tables of codes without centring, which agree by the angle alone, are
+added until it is under MISS as well.
 
 Equal vectors are one entry with a count, so copies are never paired. A bucket of any size is dealt into blocks of bounded size (``pair_blocks``); a
 block gives each vector's count of partners and only the links that connect it, and a pair that shares several tables counts in the first one.
@@ -52,21 +54,38 @@ def layout(n: int, threshold: float = THRESHOLD, bucket: int = BUCKET, miss: flo
     return width, math.ceil(math.log(miss) / math.log(1 - same))
 
 
+def moved(unit: np.ndarray, threshold: float, seed: int = 9) -> np.ndarray:
+    """A vector of cosine ``threshold`` to each of the unit vectors."""
+    side = np.random.default_rng(seed).standard_normal(unit.shape)
+    side -= (side * unit).sum(axis=1, keepdims=True) * unit
+    side /= np.maximum(np.sqrt((side * side).sum(axis=1, keepdims=True)), 1e-12)
+    return threshold * unit + math.sqrt(1 - threshold * threshold) * side
+
+
 class Tables:
-    def __init__(self, sample: np.ndarray, width: int, tables: int):
+    def __init__(self, sample: np.ndarray, width: int, tables: int, threshold: float = THRESHOLD, miss: float = MISS):
         self.dim = sample.shape[1]
         self.width, self.tables = min(width, self.dim), tables
         self.each = self.dim // self.width
         self.models = [rotation(sample, seed) for seed in range(-(-tables // self.each))]
+        near = moved(sample, threshold)
+        apart = ~(self.keys(sample) == self.keys(near)).any(axis=1)
+        while self.dim > 1 and apart.sum() > miss * len(sample):  # only the pairs that are still missed are coded again
+            turn = np.linalg.qr(np.random.default_rng(1000 + len(self.models)).standard_normal((self.dim, self.dim)))[0]
+            more = (np.zeros(self.dim), turn)
+            self.tables = len(self.models) * self.each + self.each
+            self.models.append(more)
+            apart[apart] = ~(self.coded(sample[apart], more) == self.coded(near[apart], more)).any(axis=1)
+
+    def coded(self, unit: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        mean, turn = model
+        bits = (unit - mean) @ turn >= 0
+        return np.stack([bits[:, k * self.width : (k + 1) * self.width] @ (1 << np.arange(self.width)) for k in range(self.each)], axis=1)
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """A row of table keys for each unit vector."""
-        out = []
-        for mean, turn in self.models:
-            bits = (unit - mean) @ turn >= 0
-            for k in range(self.each):
-                out.append(bits[:, k * self.width : (k + 1) * self.width] @ (1 << np.arange(self.width)))
-        return np.stack(out[: self.tables], axis=1).astype(np.int32) if out else np.zeros((len(unit), 0), np.int32)
+        out = [self.coded(unit, m) for m in self.models]
+        return np.concatenate(out, axis=1)[:, : self.tables].astype(np.int32) if out else np.zeros((len(unit), 0), np.int32)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -132,7 +151,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, block_rows: int
     most = entries.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("most")).orderBy(F.desc("most"), "dim").collect()  # one row for each length
     models = {}
     for row in most:
-        models[row["dim"]] = Tables(unit(vectors.sample(entries.filter(F.col("dim") == row["dim"]), SAMPLE)), *layout(row["most"], threshold))
+        models[row["dim"]] = Tables(unit(vectors.sample(entries.filter(F.col("dim") == row["dim"]), SAMPLE)), *layout(row["most"], threshold), threshold)
     shared = spark.sparkContext.broadcast(models)  # dim * dim doubles for each rotation
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

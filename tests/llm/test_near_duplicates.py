@@ -105,6 +105,25 @@ def test_embedding_dedup_copies_and_empty(spark):
     assert embedding_dedup.near_duplicates(vectors(spark, rows).limit(0)).collect() == []
 
 
+def test_embedding_dedup_of_vectors_with_a_common_direction(spark):
+    rng = np.random.default_rng(4)
+    common_part = 4 * rng.standard_normal(32)
+    rows = []
+    for c in range(150):
+        base = common_part + 2 * rng.standard_normal(32)
+        unit = base / np.linalg.norm(base)
+        side = rng.standard_normal(32)
+        side -= side @ unit * unit
+        side /= np.linalg.norm(side)
+        rows += [(2 * c, base.tolist(), 1), (2 * c + 1, (np.linalg.norm(base) * (0.935 * unit + (1 - 0.935**2) ** 0.5 * side)).tolist(), 1)]
+    pairs = brute_links(rows)
+    out = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(vectors(spark, rows)).collect()}
+    assert len(pairs) >= 150 and sum(out.values()) >= 0.995 * 2 * len(pairs)
+    sample = embedding_dedup.unit(np.array([r[1] for r in rows]))
+    t = embedding_dedup.Tables(sample, 14, 20)
+    assert (~(t.keys(sample) == t.keys(embedding_dedup.moved(sample, 0.93))).any(axis=1)).mean() <= 0.001
+
+
 def test_layout_keeps_the_miss_small_at_any_size():
     for n in (10, 10_000, 10**9, 10**12):
         width, tables = embedding_dedup.layout(n)
