@@ -73,9 +73,18 @@ def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordB
         held: list[pa.RecordBatch] = []
         n = 0
 
-        def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            if table.num_rows and (out := fn(table)) is not None and out.num_rows:
-                yield out
+        def flush(table: pa.Table, ends: list[int]) -> Iterator[pa.RecordBatch]:
+            """fn of whole groups, which end at ends, about ``rows`` rows at a time."""
+            at = 0
+            for i, end in enumerate(ends):
+                if end - at >= rows or i + 1 == len(ends):
+                    if (out := fn(table.slice(at, end - at).combine_chunks())) is not None and out.num_rows:
+                        yield out
+                    at = end
+
+        def borders(table: pa.Table) -> list[int]:
+            k = [table.column(c).to_numpy(zero_copy_only=False) for c in keys]
+            return (np.flatnonzero(np.logical_or.reduce([a[1:] != a[:-1] for a in k])) + 1).tolist()
 
         for batch in batches:
             held.append(batch)
@@ -83,15 +92,13 @@ def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordB
             if n < rows:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
-            k = [table.column(c).to_numpy(zero_copy_only=False) for c in keys]
-            changed = np.flatnonzero(np.logical_or.reduce([a[1:] != a[:-1] for a in k]))
-            if len(changed):
-                last = int(changed[-1]) + 1
-                yield from flush(table.slice(0, last))
-                table = table.slice(last)
+            if ends := borders(table):
+                yield from flush(table.slice(0, ends[-1]), ends)
+                table = table.slice(ends[-1])
             held, n = table.to_batches(), table.num_rows
-        if held:
-            yield from flush(pa.Table.from_batches(held).combine_chunks())
+        if n:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from flush(table, [*borders(table), table.num_rows])
 
     dealt = df.repartition(parts, *keys) if parts else df.repartition(*keys)
     return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
