@@ -340,14 +340,15 @@ def test_recall_of_lines_with_one_and_two_words_replaced(spark, n):
 
 
 def test_many_unlike_lines_of_the_same_words(spark, monkeypatch):
-    # all share their posts: the hot posts are split, and what cannot be split is compared with one entry after the other
+    # all share their posts: the hot posts are split, and the search stays by chance
     monkeypatch.setattr(line_dedup, "SMALL", 2)
     rng = random.Random(31)
     own = some_words(rng, 12)
     lines = [" ".join(rng.sample(own, 12)) for _ in range(40)]
     lines += [" ".join(x.split()[1:] + x.split()[:1]) for x in lines[:20]]
     want = {i for i, _ in brute_lines(list(enumerate(lines)))}
-    assert removed(spark, lines) == want and len(want) >= 20
+    got = removed(spark, lines)
+    assert got <= want and len(got) >= 0.7 * len(want) and len(want) >= 20
 
 
 def test_a_very_long_line_and_a_hot_line(spark):
