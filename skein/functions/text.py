@@ -178,8 +178,10 @@ def translate(words: DataFrame, translations: DataFrame, doc: str = "doc_id") ->
     return per.select(doc, F.concat_ws(",", "langs", F.array_join(F.transform("ws", lambda s: s["w"]), " ")).alias("text"))
 
 
-def language_alias(lang: Column) -> Column:
-    return F.when(lang == "zh-TW", "zh-Hant").otherwise(lang)
+def language_alias(lang: Column, back: bool = False) -> Column:
+    """Codes as the segmenter names them; ``back``: as the translator does."""
+    here, there = ("zh-Hant", "zh-TW") if back else ("zh-TW", "zh-Hant")
+    return F.when(lang == here, there).otherwise(lang)
 
 
 def segment_lines(segs: Column) -> Column:

@@ -6,6 +6,7 @@ import mimetypes
 import re
 from collections.abc import Callable, Iterable
 from functools import reduce
+from html import unescape
 from urllib.parse import SplitResult, quote, urlsplit
 from urllib.robotparser import RobotFileParser
 
@@ -429,6 +430,31 @@ def in_chain(url: Column, chain: Column) -> Column:
     return F.exists(chain, lambda x: bare(x) == bare(url))
 
 
+def page_targets(base: str, html: str) -> tuple[str | None, str | None]:
+    """(target of a meta refresh, canonical link) of a page, absolute; None where it has none. A refresh without a URL is none."""
+    refresh = canonical = None
+    for tag in re.findall(r"(?is)<(?:meta|link)\b[^>]*>", html or ""):
+        own = {k.lower(): unescape(v.strip("\"'")) for k, v in re.findall(r"""(?s)([\w-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", tag)}
+        if own.get("http-equiv", "").lower() == "refresh" and refresh is None:
+            _, _, rest = own.get("content", "").partition(";")
+            name, _, to = rest.strip().partition("=")
+            if name.strip().lower() == "url" and to.strip(" \"'"):
+                refresh = urljoin(base, to.strip(" \"'"))
+        elif "canonical" in own.get("rel", "").lower().split() and own.get("href") and canonical is None:
+            canonical = urljoin(base, own["href"].strip())
+    return refresh, canonical
+
+
+def targets(url: Column, html: Column) -> Column:
+    """struct(refresh, canonical) of a page."""
+
+    def both(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([page_targets(u or "", h or "") for u, h in zip(a, b)], columns=["refresh", "canonical"])
+
+    both.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(both, "refresh string, canonical string")(url, html)
+
+
 def final_status(entries: list[dict], start: str) -> tuple[str, int | None]:
     """(last URL, status) after following redirectURL through HAR entries from start; a loop ends where it closes."""
     by = {e["request"]["url"]: e["response"] for e in reversed(entries)}

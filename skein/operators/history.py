@@ -55,6 +55,24 @@ def change_points(rows: DataFrame, key: str, order: str, value: str, newest_firs
     return out.filter(F.col("prev_at").isNotNull() & ~F.col("prev").eqNullSafe(F.col(value)))
 
 
+def bisect_changes(known: DataFrame, snaps: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """key, at: the snapshot to look at next between each two known neighbours whose values differ, the middle one of those between them.
+
+    known: key, at, value of snapshots looked at; snaps: key, at of all. Asked again with each answer added, it ends at the change points: no row is left.
+    """
+    w = Window.partitionBy(key).orderBy(at)
+    gaps = known.select(key, F.col(at).alias("lo"), F.lead(at).over(w).alias("hi"), F.col(value).alias("a"), F.lead(value).over(w).alias("b"))
+    gaps = gaps.filter(F.col("hi").isNotNull() & ~F.col("a").eqNullSafe(F.col("b"))).select(key, "lo", "hi")
+    # each snapshot falls into the gap after the last known one: one sort of both, no pairing
+    both = snaps.select(key, at, F.lit(None).cast(known.schema[at].dataType).alias("lo"), F.lit(None).cast(known.schema[at].dataType).alias("hi")).unionByName(gaps.select(key, F.col("lo").alias(at), "lo", "hi"))
+    before = Window.partitionBy(key).orderBy(at, F.col("lo").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    own = both.select(key, at, F.col("lo").isNull().alias("snap"), F.last("lo", ignorenulls=True).over(before).alias("lo"), F.last("hi", ignorenulls=True).over(before).alias("hi"))
+    inside = own.filter(F.col("snap") & (F.col(at) > F.col("lo")) & (F.col(at) < F.col("hi"))).select(key, at, "lo").distinct()
+    gap = Window.partitionBy(key, "lo")
+    ranked = inside.withColumn("r", F.row_number().over(gap.orderBy(at))).withColumn("n", F.count("*").over(gap))
+    return ranked.filter(F.col("r") == F.ceil(F.col("n") / 2)).select(key, at)
+
+
 def yearly_picks(snaps: Column, lo: Column, hi: Column) -> Column:
     """Snapshots as of each year back from a week before hi to a year and a week before lo, repeats left out."""
     top, low = hi - F.expr("interval 7 days"), lo - F.expr("interval 372 days")

@@ -151,3 +151,25 @@ def bad_to_good(urls: DataFrame, canon: Column, id_col: str = "id", url: str = "
     own = urls.select(F.col(id_col).alias("bad_id"), F.col(url).alias("bad_url"), canon.alias("good_url")).filter("good_url is null or good_url <> bad_url")
     good = urls.select(F.col(id_col).alias("good_id"), F.col(url).alias("good_url"))
     return own.join(good, "good_url", "left").select("bad_id", "good_id", "bad_url", "good_url")
+
+
+def any_of(cases: Sequence[dict[str, object]]) -> Column:
+    """Rows that equal one of the cases in all columns it names: a disjunction of conjunctions. No case: no row; a case without columns: all."""
+    none = F.lit(False)
+    for case in cases:
+        every = F.lit(True)
+        for name, value in case.items():
+            every &= F.col(name).eqNullSafe(F.lit(value))
+        none |= every
+    return none
+
+
+def default_from(df: DataFrame, column: str, one: DataFrame, value: str) -> DataFrame:
+    """df with nulls of a column filled by the value of the only row of ``one``; null where that has no row, an error where it has more."""
+    only = one.agg(F.when(F.count("*") > 1, F.raise_error(F.lit("more than one row for a default")).cast(df.schema[column].dataType)).otherwise(F.max(value)).alias("__default"))
+    return df.crossJoin(F.broadcast(only)).withColumn(column, F.coalesce(column, "__default")).drop("__default")  # one row
+
+
+def derived_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_on: Column, right_on: Column) -> DataFrame:
+    """Join on equal keys and equal values computed on each side, such as the earlier of two dates. Nulls do not meet."""
+    return left.withColumn("__on", left_on).join(right.withColumn("__on", right_on), [*keys, "__on"]).drop("__on")

@@ -276,3 +276,49 @@ def test_sinks(spark, tmp_path):
     assert rows(sinks.site_blocks(urls)) == [("http://x", ["http://x/a", "http://x/b"])]
     sets = corpus.observation_sets(spark.createDataFrame([("h", "u", "us")], "hash string, url string, cc string"), "hash", "url", ["url", "cc"])
     assert rows(sinks.report_by_hash(sets, "hash")) == [(1, "h\n  u us")]
+
+
+def test_bisection_ends_at_the_change_points(spark):
+    from skein.operators import history
+
+    values = {"u": [1, 1, 1, 2, 2, 2, 2, 1, 1, 3], "v": [5] * 6, "w": [1, 2]}
+    every = spark.createDataFrame([(k, i, x) for k, xs in values.items() for i, x in enumerate(xs)], "url string, ts int, v int")
+    asked = {("u", 0), ("u", 5), ("u", 9), ("v", 0), ("v", 5), ("w", 0), ("w", 1)}
+    for _ in range(10):
+        known = spark.createDataFrame([(k, i, values[k][i]) for k, i in asked], "url string, ts int, v int")
+        more = {(r.url, r.ts) for r in history.bisect_changes(known, every, "url", "ts", "v").collect()}
+        assert not more & asked
+        if not more:
+            break
+        asked |= more
+    assert not more and {("u", 2), ("u", 3), ("u", 6), ("u", 7), ("u", 8), ("u", 9)} <= asked and len([a for a in asked if a[0] == "v"]) == 2
+
+
+def test_any_of_defaults_and_derived_joins(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "b", 5), (3, None, None)], "k int, s string, n int")
+    assert rows(df.filter(relational.any_of([{"k": 1, "s": "a"}, {"s": None}])).select("k")) == [(1,), (3,)] and df.filter(relational.any_of([])).count() == 0 and df.filter(relational.any_of([{}])).count() == 3
+    assert rows(relational.default_from(df, "n", spark.createDataFrame([(7,)], "v int"), "v").select("n")) == [(5,), (7,), (7,)]
+    with pytest.raises(Exception, match="more than one row"):
+        relational.default_from(df, "n", spark.createDataFrame([(7,), (8,)], "v int"), "v").collect()
+    out = relational.derived_join(df.select("k", "n"), df.select("k", F.lit(5).alias("m")), ["k"], F.coalesce("n", F.lit(0)), F.col("m"))
+    assert rows(out.select("k", "m")) == [(2, 5)]
+
+
+def test_stderr_parking_files_and_page_targets(spark):
+    from skein.functions import parked, status, text, url
+
+    said = [None, "isolate: phantomjs: CPU time limit exceeded", "bad_alloc\nisolate: phantomjs: Aborted", "isolate: phantomjs: Segmentation fault\nodd", "isolate: phantomjs: Aborted", "odd"]
+    out = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, t string").withColumn("r", status.stderr_result(F.col("t"))).orderBy("i").select("r.*").collect()
+    assert [(r.status, r.detail, r.log) for r in out] == [
+        ("crawler failure", "unexplained unsuccessful exit", []), ("timeout", "CPU time limit exceeded", []), ("crawler failure", "out of memory", []), ("crawler failure", "out of memory", ["odd"]),
+        ("crawler failure", "Aborted", []), ("crawler failure", "unexplained unsuccessful exit", ["odd"]),
+    ]
+    own = parked.read_rules("# c\n[strong]\na_x = href\\s*=\\s*x\n[weak1]\nw = foo\n[weak2]\nv = bar\n")
+    assert [(k, t) for k, t, _ in own] == [("strong", "a_x"), ("weak1", "w"), ("weak2", "v")] and parked.verdict("<a HREF = x>", own) == (True, ["a_x"])
+    modes = parked.read_modes("[min]\nw\nv\n")
+    assert modes == {"min": ["w", "v"]} and parked.verdict("<a href=x> foo bar", parked.in_mode(own, modes["min"])) == (True, ["v", "w"])
+    pages = spark.createDataFrame([("sedoparking.com",), ("x",), (None,)], "html string")
+    assert rows(parked.parked_count(pages)) == [(3, 1)]
+    assert url.page_targets("http://a/b/", "<META http-equiv='Refresh' content='0; URL=c?x=1&amp;y'><link href=/d rel='x canonical'>") == ("http://a/b/c?x=1&y", "http://a/d")
+    assert url.page_targets("http://a/", "<meta http-equiv=refresh content=5>") == (None, None)
+    assert rows(spark.createDataFrame([("zh-Hant",), ("en",)], "l string").select(text.language_alias(F.col("l"), back=True))) == [("en",), ("zh-TW",)]
