@@ -38,14 +38,20 @@ def intern(new: DataFrame, key: str, id_col: str = "id", existing: DataFrame | N
 
 
 def row_numbers(df: DataFrame, order: Sequence[str], name: str = "n", start: int = 1) -> DataFrame:
-    """Consecutive numbers in global order without gathering rows: ranges are numbered apart and shifted by the rows before them."""
-    parts = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__p", F.spark_partition_id())
-    own = Window.partitionBy("__p").orderBy(*order)
-    numbered = parts.withColumn("__r", F.row_number().over(own))
-    sizes = numbered.groupBy("__p").agg(F.max("__r").alias("__c"))  # a row for each partition
-    before = F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = sizes.select(F.col("__p").alias("__q"), before.alias("__b"))
-    return numbered.join(shifts, F.col("__p") == F.col("__q")).withColumn(name, F.col("__r") + F.col("__b") + F.lit(start - 1)).drop("__p", "__q", "__r", "__b")
+    """Consecutive numbers in global order without gathering rows: ranges are numbered apart and shifted by the rows before them.
+
+    Ranges come from a sample that Spark draws anew for each plan, so their least keys and counts are taken once and rows find their range by its least key.
+    """
+    key = F.struct(*order)
+    ranges = df.select(*order).repartitionByRange(*[F.col(c) for c in order]).groupBy(F.spark_partition_id()).agg(F.min(key).alias("k"), F.count("*").alias("c"))
+    ranges = ranges.agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("r"))  # an entry for each range
+    before = lambda i: F.aggregate(F.slice("r.c", 1, i), F.lit(0).cast("long"), lambda a, x: a + x)
+    ranges = ranges.select(F.col("r.k").alias("__least"), F.transform("r", lambda x, i: before(i)).alias("__before"))
+    at = lambda p: F.when((p <= F.size("__least")) & (F.get("__least", p - 1) <= key), p)
+    found = F.aggregate(F.array(*[F.lit(2**i) for i in reversed(range(20))]), F.lit(0), lambda p, step: F.coalesce(at(p + step), p))
+    parts = df.crossJoin(F.broadcast(ranges)).withColumn("__p", found)
+    parts = parts.withColumn("__b", F.get("__before", F.col("__p") - 1)).drop("__least", "__before")
+    return parts.withColumn(name, F.row_number().over(Window.partitionBy("__p").orderBy(*order)) + F.col("__b") + F.lit(start - 1)).drop("__p", "__b")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -33,6 +33,20 @@ def test_row_numbers_are_global(spark):
     assert all(r.v + 1 == r.n for r in relational.row_numbers(df, ["v"]).collect())
 
 
+def test_row_numbers_are_global_where_ranges_come_from_a_sample(spark):
+    """Each plan draws its own sample; with columns that only some plans need, the plans differ."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small ranges become one
+    try:
+        df = spark.range(30000).select(F.hex(F.xxhash64("id")).alias("k"), F.when(F.col("id") % 7 != 0, F.col("id") % 5).alias("g"), F.col("id").alias("more"))
+        out = relational.row_numbers(df, ["g", "k"]).collect()
+        firsts = {r.g: r.first for r in relational.row_numbers(df, ["g", "k"]).groupBy("g").agg(F.min("n").alias("first")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    out.sort(key=lambda r: (r.g is not None, r.g or 0, r.k))
+    assert [r.n for r in out] == list(range(1, 30001))
+    assert all(firsts[r.g] <= r.n for r in out) and {out[firsts[g] - 1].g for g in firsts} == set(firsts)
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([(1, "a", 1.0), (2, "b", None)], "k int, s string, x double")
     new = spark.createDataFrame([(2, "B", 2.0), (3, None, 3.0)], "k int, s string, x double")
