@@ -424,6 +424,44 @@ def test_a_chain_in_a_post_stays_connected(spark):
         assert removed(spark, [lines[k] for k in order]) == {1, 2}
 
 
+@pytest.mark.parametrize("many, block", [(2, 1000), (100, 1000), (100, 7)])
+def test_all_that_a_post_left_apart_is_compared(spark, monkeypatch, many, block):
+    # one post whose least entry is like none of the others; these are pairs, each like its twin only
+    monkeypatch.setattr(line_dedup, "SMALL", block)
+    rng = random.Random(many)
+    lines = ["a line that leads and is like no other"]
+    for k in range(many):
+        lines.append(" ".join(some_words(rng, rng.choice([4, 9, 30]), 10**6)))
+        lines.append(lines[-1][:-1] + "\u00df")
+    rows = [(i, x.split()) for i, x in enumerate(lines)]
+    forms = spark.createDataFrame(rows, "id long, form array<string>")
+    forms = forms.select("id", "form", line_dedup.coded(F.col("form")).alias("code"), F.length(F.array_join("form", " ")).alias("length"), F.array_max(F.transform("form", lambda w: F.length(w))).alias("longest"))
+    own = line_dedup.Comparer(forms, 0.8)
+    line_dedup.compare_rest(own, spark.createDataFrame([(5, 0, i) for i in range(1, len(lines))], "post long, lead long, id long"))
+    assert {(r.node, r.component) for r in own.parts.collect()} == {(i, i - 1 + i % 2) for i in range(1, len(lines))}
+
+
+def test_sketches_rule_out_no_similar_lines(spark):
+    rng = random.Random(77)
+    rows = []
+    for i in range(600):
+        a = "".join(rng.choice("abcdefgh   ") for _ in range(rng.choice([12, 20, 40, 100])))
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 4)):
+            k = rng.randrange(len(b))
+            b[k : k + 1] = rng.choice([[], [rng.choice("abcxyz ")], [b[k], rng.choice("abcxyz ")]])
+        rows += [(2 * i, a.split() or ["a"]), (2 * i + 1, "".join(b).split() or ["b"])]
+    forms = spark.createDataFrame(rows, "id long, form array<string>")
+    forms = forms.select("id", "form", line_dedup.coded(F.col("form")).alias("code"), F.length(F.array_join("form", " ")).alias("length"), F.array_max(F.transform("form", lambda w: F.length(w))).alias("longest"))
+    own = lambda x: forms.select(F.expr("id div 2").alias("k"), F.col("id").alias(x), F.col("form").alias(f"f{x}"), F.struct("code", "length", "longest").alias(f"s{x}"))
+    found = line_dedup.similar(own("a").filter("a % 2 = 0").join(own("b").filter("b % 2 = 1"), "k"), 0.8).select("k")
+    known = line_dedup.sketches(forms).withColumn("k", F.expr("id div 2"))
+    x, y = known.filter("id % 2 = 0").alias("x"), known.filter("id % 2 = 1").alias("y")
+    may = x.join(y, F.col("x.k") == F.col("y.k")).filter(line_dedup.may_link("x", "y", 0.8)).select("x.k")
+    found, may = {r.k for r in found.collect()}, {r.k for r in may.collect()}
+    assert len(found) > 200 and found <= may and len(may) < 600
+
+
 def test_a_salted_group_hands_on_all_places_of_its_least_document():
     passage = " ".join(some_words(random.Random(21), 50)).encode()
     same = b" ".join([b"same"] * 60)
