@@ -460,6 +460,27 @@ def test_a_passage_that_unlike_lines_share_makes_no_pairs_of_all(spark, monkeypa
     assert sum(made) < 0.3 * len(lines) ** 2 / 2
 
 
+def test_the_code_of_blocks_stands_once(spark):
+    # with the code of each block in the plan, the method that runs it was too long to be compiled
+    docs = spark.createDataFrame([(1, 2, "some line of text here")], "doc_id long, th long, text string")
+    plan = line_dedup.occurrences(docs, 12, 4)._jdf.queryExecution().optimizedPlan()
+    assert str(plan.toString()).count("xxhash64(grams") <= 2
+
+
+def test_edges_in_common_are_left_out_whole(spark):
+    # what both begin with and what both end with may overlap in the shorter form
+    rng = random.Random(8)
+    rows = [([rng.choice(["aa", "aa", "aa", "bbb", "c"]) for _ in range(rng.randint(1, 12))] for _ in range(2)) for _ in range(1500)]
+    rows = [(a, b, k) for k, (a, b) in enumerate(rows)]
+    forms = spark.createDataFrame([(2 * k + i, x) for *ab, k in rows for i, x in enumerate(ab)], "id long, form array<string>")
+    forms = forms.select("id", "form", line_dedup.coded(F.col("form")).alias("code"), F.length(F.array_join("form", " ")).alias("length"), F.array_max(F.transform("form", lambda w: F.length(w))).alias("longest"))
+    own = lambda x: forms.select(F.expr("id div 2").alias("k"), F.col("id").alias(x), F.col("form").alias(f"f{x}"), F.struct("code", "length", "longest").alias(f"s{x}"))
+    found = line_dedup.similar(own("a").filter("a % 2 = 0").join(own("b").filter("b % 2 = 1"), "k"), 0.8).select("k")
+    near = lambda a, b: edit_similar(" ".join(a), " ".join(b)) and edits(a, b) <= max(max(len(a), len(b)) // 2, line_dedup.GRAM_WORDS)
+    want = {k for a, b, k in rows if near(a, b)}
+    assert {r.k for r in found.collect()} == want and len(want) > 5
+
+
 def test_sketches_rule_out_no_similar_lines(spark):
     rng = random.Random(77)
     rows = []
